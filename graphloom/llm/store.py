@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -22,13 +23,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str = "t") -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: it is computed once and survives lost executors."""
+def written(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: it is computed once and survives lost executors.
+
+    ``by`` partitions the table's files by a column. Shuffle files that nothing refers to any more are given back.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _written.setdefault(id(spark), []).append(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
