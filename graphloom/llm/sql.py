@@ -1,3 +1,58 @@
 """DuckDB SQL that gives the same rows as the queries of the same name."""
 
-ORACLES: dict[str, str] = {}
+CHAT = r"""
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL
+), r AS (
+  SELECT *, CAST(row_number() OVER w - 1 AS INTEGER) AS n_context,
+    coalesce(string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')
+      || '<|assistant|>' || chr(10) AS prompt
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+)
+SELECT conv_id, turn, n_context, prompt, text AS reply, CAST(length(prompt) AS INTEGER) AS loss_start,
+  CAST(length(prompt) + length(text) AS INTEGER) AS loss_end
+FROM r WHERE role = 'assistant'
+"""
+
+TOP_K = """
+WITH v AS (SELECT vec_id, min(embedding)::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL GROUP BY vec_id),
+d AS (
+  SELECT a.vec_id, b.vec_id AS neighbor_id, list_distance(a.v, b.v) AS distance
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM d)
+SELECT vec_id, rank, neighbor_id, round(distance, 6) AS distance FROM r WHERE rank <= 10
+"""
+
+# the place of a sentence's run among all equal runs decides; sentences are compared without case and outer white space
+SPANS = r"""
+WITH s AS (
+  SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+$') AS raw FROM documents
+), n AS (
+  SELECT doc_id, unnest(list_transform(raw, lambda x: lower(trim(x, chr(32) || chr(9) || chr(13) || chr(10))))) AS x,
+    unnest(range(len(raw))) AS pos FROM s
+), m AS (
+  SELECT *, length(x) - length(replace(x, ' ', '')) + 1 AS w FROM n
+), q AS (
+  SELECT doc_id, pos, x, w, lead(x) OVER o AS x2, lead(w) OVER o AS w2, lead(x, 2) OVER o AS x3, lead(w, 2) OVER o AS w3
+  FROM m WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+), runs AS (
+  SELECT doc_id, pos, 2 AS n, [x, x2] AS run FROM q WHERE w + w2 >= 20
+  UNION ALL
+  SELECT doc_id, pos, 3, [x, x2, x3] FROM q WHERE NOT (w + w2 >= 20 AND w2 + w3 >= 20) AND w + w2 + w3 >= 12
+), later AS (
+  SELECT doc_id, pos, n FROM (SELECT *, row_number() OVER (PARTITION BY n, run ORDER BY doc_id, pos) AS i FROM runs) WHERE i > 1
+), gone AS (
+  SELECT doc_id, list_distinct(flatten(list(range(pos, pos + n)))) AS gone FROM later GROUP BY doc_id
+)
+SELECT s.doc_id,
+  CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(raw, lambda x, i: NOT list_contains(gone, i - 1)), '') END AS text,
+  CAST(coalesce(len(gone), 0) AS INTEGER) AS n_removed
+FROM s LEFT JOIN gone USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_substring_dedup": SPANS,
+    "op5_chat_prefix_targets": CHAT,
+    "op6_exact_top_k": TOP_K,
+}
