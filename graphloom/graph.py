@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from graphloom.errors import GraphError
 from graphloom.functions import filters
 from graphloom.functions.props import BagAccess, TypedAccess
-from graphloom.operators import similarity, walk
+from graphloom.operators import lineage, similarity, walk
 from graphloom.operators.aggregates import Count
 from graphloom.plans.specs import Boost, Hop, Near, Start, check_chain
 
@@ -162,8 +162,7 @@ class PropertyGraph:
     def _hop(self, anchors: DataFrame, hop: Hop, want_edges: bool = True) -> walk.Walked:
         a, b = ("start_id", "end_id") if hop.direction == "forward" else ("end_id", "start_id")
         rows = self.matching_edges(hop.via)
-        vectors = [f"vec_{n.field}" for n in hop.via_near]
-        edges = rows.select("id", F.col(a).alias("from_id"), F.col(b).alias("to_id"), *vectors)
+        edges = rows.select("*", F.col(a).alias("from_id"), F.col(b).alias("to_id"))
         targets = self.matching(hop.where).select("id") if hop.where not in (None, {}) else None
         if hop.via_near:
             walked = self._edge_beam(anchors, edges, targets, hop)
@@ -186,7 +185,7 @@ class PropertyGraph:
             landed = walked.walks.join(kept.select(F.col("id").alias("to_id")), "to_id", "left_semi")
             taken = landed.select(F.explode("edge_ids").alias("id")).distinct()
             return walk.Walked(kept, walked.edges.join(taken, "id", "left_semi"), landed)
-        return walk.Walked(kept, walk.walk(anchors, edges.select("id", "from_id", "to_id"), kept, hop.low, hop.high, self.acyclic).edges)
+        return walk.Walked(kept, walk.walk(anchors, edges, kept, hop.low, hop.high, self.acyclic).edges)
 
     def _edge_beam(self, anchors: DataFrame, edges: DataFrame, targets: DataFrame | None, hop: Hop) -> walk.Walked:
         """Each walk goes on over its best edges only; those that would close a circle are no candidates."""
@@ -207,23 +206,30 @@ class PropertyGraph:
         if targets is not None:
             out = out.join(targets.select(F.col("id").alias("to_id")), "to_id", "left_semi")
         taken = out.select(F.explode("edge_ids").alias("id")).distinct()
-        return walk.Walked(out.select(F.col("to_id").alias("id")).distinct(), edges.join(taken, "id", "left_semi").select("id", "from_id", "to_id"), out)
+        return walk.Walked(out.select(F.col("to_id").alias("id")).distinct(), edges.join(taken, "id", "left_semi"), out)
 
-    def traverse_ids(self, start: Start, *hops: Hop) -> tuple[DataFrame, DataFrame]:
-        """Ids of the nodes and of the edges that a traversal reports."""
+    def _chain(self, start: Start, hops: Sequence[Hop]) -> tuple[DataFrame, DataFrame]:
+        """Ids of the nodes that a traversal reports, and its edges with all columns.
+
+        Between hops the edges so far are written out, so that no hop is computed again for those after it.
+        """
         check_chain(hops)
         match = self._seed(start)
         if not hops:
-            return match.distinct(), self.edges.select("id").limit(0)
+            return match.distinct(), self.edges.limit(0)
         reported: DataFrame | None = None
-        for hop in hops:
+        for i, hop in enumerate(hops):
             before, walked = match, self._hop(match, hop)
-            match = walked.match
-            reported = walked.edges if reported is None else reported.unionByName(walked.edges)
+            match, edges = walked.match, walked.edges
+            if i < len(hops) - 1:
+                edges = lineage.cut(edges)
+                match = edges.select(F.col("to_id").alias("id")).distinct() if hop.high == 1 else lineage.cut(match)
+            reported = edges if reported is None else reported.unionByName(edges)
         ids = reported.select(F.col("from_id").alias("id")).union(reported.select("to_id"))
         if hops[-1].optional:
             ids = ids.union(before.select("id"))
-        return ids.distinct(), reported.select("id").distinct()
+        # an edge is reported once, however many hops took it
+        return ids.distinct(), (reported.dropDuplicates(["id"]) if len(hops) > 1 else reported).drop("from_id", "to_id")
 
     def traverse(self, start: Start, *hops: Hop) -> Subgraph:
         """The subgraph of a chain of hops.
@@ -231,8 +237,10 @@ class PropertyGraph:
         A hop reports the edges of walks that end in its own matches; whether later hops go on from there doesn't matter.
         Nodes are the ends of reported edges, and with an optional last hop the nodes it started from.
         """
-        nodes, edges = self.traverse_ids(start, *hops)
-        return Subgraph(self.nodes.join(nodes, "id", "left_semi"), self.edges.join(edges, "id", "left_semi"))
+        if not hops and not start.near and start.rerank is None:
+            return Subgraph(self.matching(start.where, start.ids), self.edges.limit(0))
+        nodes, edges = self._chain(start, hops)
+        return Subgraph(self.nodes.join(nodes, "id", "left_semi"), edges)
 
     def build_query(self, start: Start, *hops: Hop) -> tuple[DataFrame, DataFrame]:
         """The plans of ``traverse``, not run."""
@@ -242,8 +250,10 @@ class PropertyGraph:
     def last_match(self, start: Start, *hops: Hop) -> DataFrame:
         """Ids of the nodes that the last hop matched."""
         match = self._seed(start)
-        for hop in hops:
+        for i, hop in enumerate(hops):
             match = self._hop(match, hop, want_edges=False).match
+            if i < len(hops) - 1:
+                match = lineage.cut(match)
         return match.distinct()
 
     def aggregate(self, start: Start, *hops: Hop, aggregates: dict, group_by: str | None = None) -> DataFrame:
@@ -256,7 +266,12 @@ class PropertyGraph:
             raise GraphError(f"{group_by!r} can't be both the group and an aggregate")
         a = self.node_access
         columns = [agg.column(a).alias(name) for name, agg in aggregates.items()]
-        rows = self.matching(start.where, start.ids) if not hops and not start.near and start.rerank is None else self.nodes.join(self.last_match(start, *hops), "id", "left_semi")
+        if not hops and not start.near and start.rerank is None:
+            rows = self.matching(start.where, start.ids)
+        else:
+            rows = self.last_match(start, *hops)
+            if group_by is not None or any(agg != Count() for agg in aggregates.values()):
+                rows = self.nodes.join(rows, "id", "left_semi")
         if group_by is None:
             return rows.agg(*columns)
         return rows.groupBy(a.text(group_by).alias(group_by)).agg(*columns).orderBy(F.asc_nulls_last(group_by))

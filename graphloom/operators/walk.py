@@ -15,18 +15,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.errors import GraphError
 from graphloom.operators import lineage
 
-#: Walks longer than this have their layers written out between steps.
-CUT_EVERY = 4
-
 
 @dataclass
 class Walked:
-    """Matches (id) of a hop, and the edges (id, from_id, to_id) it reports."""
+    """Matches (id) of a hop, and the edges it reports, with ``from_id``, ``to_id`` and all other columns."""
 
     match: DataFrame
     edges: DataFrame
@@ -39,44 +37,43 @@ def _land(reached: DataFrame, targets: DataFrame | None, column: str = "to_id")
 
 def single(anchors: DataFrame, edges: DataFrame, targets: DataFrame | None) -> Walked:
     """Walks of one edge."""
-    taken = _land(edges.join(anchors.select(F.col("id").alias("from_id")), "from_id", "left_semi"), targets).select("id", "from_id", "to_id")
+    taken = _land(edges.join(anchors.select(F.col("id").alias("from_id")), "from_id", "left_semi"), targets)
     return Walked(taken.select(F.col("to_id").alias("id")).distinct(), taken)
 
 
-def _bits(frames: list[tuple[int, DataFrame]]) -> DataFrame:
-    """(id, bits) of frames (id): bit d where the node is in frame d."""
-    marked = [f.select("id", F.lit(1 << d).cast("long").alias("bit")) for d, f in frames]
-    return reduce(DataFrame.unionByName, marked).groupBy("id").agg(F.bit_or("bit").alias("bits"))
-
-
-def _forward(anchors: DataFrame, edges: DataFrame, high: int) -> list[DataFrame]:
-    frames = [anchors.select("id").distinct()]
-    for d in range(high):
-        step = edges.join(frames[-1].select(F.col("id").alias("from_id")), "from_id", "left_semi").select(F.col("to_id").alias("id")).distinct()
-        frames.append(lineage.cut(step) if d % CUT_EVERY == CUT_EVERY - 1 else step)
-    return frames
+def _bits(frames: list[DataFrame]) -> DataFrame:
+    """(to_id, bits) of frames (id): bit k where the node is in frame k."""
+    marked = [f.select(F.col("id").alias("to_id"), F.lit(1 << k).cast("long").alias("bit")) for k, f in enumerate(frames)]
+    return reduce(DataFrame.unionByName, marked).groupBy("to_id").agg(F.bit_or("bit").alias("bits"))
 
 
 def layered(anchors: DataFrame, edges: DataFrame, targets: DataFrame | None, low: int, high: int, want_edges: bool = True) -> Walked:
-    """Exact where the edges reachable from the anchors have no cycle; elsewhere a superset."""
-    frames = _forward(anchors, edges, high)
-    reached = reduce(DataFrame.unionByName, frames[low:]).distinct()
+    """Exact where the edges reachable from the anchors have no cycle; elsewhere a superset.
+
+    Each step's edges are written out, so every step reads the graph once, and the way back only what was reached.
+    """
+    taken, front = [], anchors.select("id").distinct()
+    for _ in range(high):
+        step = lineage.cut(edges.join(front.select(F.col("id").alias("from_id")), "from_id", "left_semi"))
+        taken.append(step)
+        front = step.select(F.col("to_id").alias("id")).distinct()
+    reached = reduce(DataFrame.unionByName, (t.select(F.col("to_id").alias("id")) for t in taken[low - 1 :])).distinct()
     match = reached if targets is None else reached.join(targets.select("id"), "id", "left_semi")
     if not want_edges:
         return Walked(match, edges.limit(0))
+    match = lineage.cut(match)
     back = [match]
     for k in range(high - 1):
-        step = edges.join(back[-1].select(F.col("id").alias("to_id")), "to_id", "left_semi").select(F.col("from_id").alias("id")).distinct()
-        back.append(lineage.cut(step) if k % CUT_EVERY == CUT_EVERY - 1 else step)
-    ahead = _bits([*enumerate(frames[:high])]).select(F.col("id").alias("from_id"), F.col("bits").alias("ahead"))
-    behind = _bits([*enumerate(back)]).select(F.col("id").alias("to_id"), F.col("bits").alias("behind"))
-
-    def fits(d: int) -> Column:
+        # only steps that leave room for k + 1 more
+        pairs = reduce(DataFrame.unionByName, (t.select("from_id", "to_id") for t in taken[: high - k]))
+        step = pairs.join(back[-1].select(F.col("id").alias("to_id")), "to_id", "left_semi").select(F.col("from_id").alias("id")).distinct()
+        back.append(lineage.cut(step))
+    behind = _bits(back)
+    fitting = []
+    for d, t in enumerate(taken):
         lengths = sum(1 << k for k in range(max(0, low - d - 1), high - d))
-        return (F.col("ahead").bitwiseAND(F.lit(1 << d)) != 0) & (F.col("behind").bitwiseAND(F.lit(lengths)) != 0)
-
-    met = edges.join(ahead, "from_id").join(behind, "to_id").where(reduce(lambda a, b: a | b, map(fits, range(high))))
-    return Walked(match, met.select("id", "from_id", "to_id"))
+        fitting.append(t.join(behind.where(F.col("bits").bitwiseAND(F.lit(lengths)) != 0).select("to_id"), "to_id", "left_semi"))
+    return Walked(match, reduce(DataFrame.unionByName, fitting).dropDuplicates(["id"]))
 
 
 def enumerated(anchors: DataFrame, edges: DataFrame, targets: DataFrame | None, low: int, high: int) -> Walked:
@@ -92,7 +89,7 @@ def enumerated(anchors: DataFrame, edges: DataFrame, targets: DataFrame | None,
         walks.append(w.select(F.col("next").alias("to_id"), F.array_append("path", F.col("next")).alias("path"), F.array_append("edge_ids", F.col("id")).alias("edge_ids")))
     landed = _land(reduce(DataFrame.unionByName, walks[low - 1 :]), targets)
     taken = landed.select(F.explode("edge_ids").alias("id")).distinct()
-    return Walked(landed.select(F.col("to_id").alias("id")).distinct(), edges.join(taken, "id", "left_semi").select("id", "from_id", "to_id"), landed)
+    return Walked(landed.select(F.col("to_id").alias("id")).distinct(), edges.join(taken, "id", "left_semi"), landed)
 
 
 def is_acyclic(edges: DataFrame) -> bool:
@@ -103,6 +100,8 @@ def is_acyclic(edges: DataFrame) -> bool:
 
 def walk(anchors: DataFrame, edges: DataFrame, targets: DataFrame | None, low: int, high: int, acyclic: bool | None, want_edges: bool = True) -> Walked:
     """The cheapest exact way. ``acyclic``: known of the edges, or None to look at their ids."""
+    if high > 62:
+        raise GraphError("a hop can take at most 62 edges")
     if high == 1:
         return single(anchors, edges, targets)
     if acyclic is None:

@@ -77,7 +77,7 @@ _filter("or", Start(where=AND({"type": "customer"}, OR(LT("c_acctbal", 0), {"c_m
 _filter("not", Start(where=AND({"type": "customer"}, NOT({"c_mktsegment": "BUILDING"}))), "c_mktsegment <> 'BUILDING'")
 _filter("gte_lte", Start(where=AND({"type": "customer"}, GTE("c_nationkey", 5), LTE("c_nationkey", 9))), "c_nationkey >= 5 AND c_nationkey <= 9")
 _filter("between", Start(where=AND({"type": "part"}, BETWEEN("p_size", 10, 20))), "p_size BETWEEN 10 AND 20", "part", "p_partkey * 16 + 5")
-_filter("callable", Start(where=AND({"type": "part"}, lambda a: F.length(a.text("p_name")) > 12)), "length(p_name) > 12", "part", "p_partkey * 16 + 5")
+_filter("callable", Start(where=AND({"type": "part"}, lambda a: F.length(a.text("p_name")) > 8)), "length(p_name) > 8", "part", "p_partkey * 16 + 5")
 _filter("ids", Start(where={"type": "customer"}, ids=[19, 35, 51, "67", 4]), "c_custkey IN (1, 2, 3, 4)")
 _filter("has_key", Start(where=AND(HasKey("c_name"), GT("c_acctbal", 9000))), "c_acctbal > 9000")
 

@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.graph import PropertyGraph
 
@@ -25,11 +26,22 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+_schemas: dict[tuple[str, str], T.StructType] = {}
+
+
+def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A Parquet table; its files are asked for their schema only the first time."""
+    path = f"{folder}/{name}.parquet"
+    if (folder, name) not in _schemas:
+        _schemas[folder, name] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[folder, name]).parquet(path)
+
+
 def order_graph(spark: SparkSession, folder: str) -> PropertyGraph:
     """Regions, nations, customers, suppliers, parts, orders, users and events, and the edges between them; acyclic."""
 
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
+        return read(spark, folder, name)
 
     def nodes(name: str, kind: str, key: str, code: int) -> DataFrame:
         return table(name).select(node_id(key, code).alias("id"), F.lit(kind).alias("type"), "*")
@@ -66,7 +78,7 @@ def order_graph(spark: SparkSession, folder: str) -> PropertyGraph:
 
 def event_bags(spark: SparkSession, folder: str) -> PropertyGraph:
     """Events and users with their properties in bags: an event's is its JSON and its type and value."""
-    events = spark.read.parquet(f"{folder}/events.parquet")
+    events = read(spark, folder, "events")
     bag = F.parse_json(F.to_json(F.struct(F.lit("event").alias("type"), F.col("event_type"), F.col("value"), F.get_json_object("props", "$.k").cast("int").alias("k"))))
     nodes = events.select(node_id("event_id", EVENT).alias("id"), bag.alias("properties"))
     users = events.select("user_id").distinct()
@@ -77,7 +89,7 @@ def event_bags(spark: SparkSession, folder: str) -> PropertyGraph:
 
 def ring_graph(spark: SparkSession, folder: str) -> PropertyGraph:
     """Customers, each with edges to three others of its nation's numbering: many cycles and parallel ways."""
-    c = spark.read.parquet(f"{folder}/customer.parquet")
+    c = read(spark, folder, "customer")
     nodes = c.select(F.col("c_custkey").alias("id"), F.lit("customer").alias("type"), "c_nationkey", "c_mktsegment", "c_acctbal")
     n = c.select(F.max("c_custkey").alias("n"))
     steps = F.explode(F.array(F.lit(1), F.lit(7), F.lit(-6))).alias("step")
@@ -89,7 +101,7 @@ def ring_graph(spark: SparkSession, folder: str) -> PropertyGraph:
 
 def vector_graph(spark: SparkSession, folder: str) -> PropertyGraph:
     """Embeddings as nodes, with edges from each to the next two ids."""
-    v = spark.read.parquet(f"{folder}/embeddings.parquet")
+    v = read(spark, folder, "embeddings")
     nodes = v.select(F.col("vec_id").alias("id"), F.lit("vec").alias("type"), "label", F.col("embedding").alias("vec_emb"))
     edges = v.select("vec_id", F.col("embedding").alias("vec_emb"), F.explode(F.array(F.lit(1), F.lit(2))).alias("step"))
     last = v.select(F.max("vec_id").alias("last"))
