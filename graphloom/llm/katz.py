@@ -16,8 +16,9 @@ out of the model and backed off from. A document begins with a start sign.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,15 +65,66 @@ def _shard(key: np.ndarray, shards: int) -> np.ndarray:
     return ((key >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
 
 
+def _key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return textcore.mix(h * np.uint64(0xD6E8FEB86659FD93) + w)
+
+
 def _bigrams(w: np.ndarray, h: np.ndarray, shards: int):
-    """Distinct bigrams by shard, then key: (shard, h, w, count), and for each token which one it is."""
-    key = textcore.mix(h * np.uint64(0xD6E8FEB86659FD93) + w)
+    """Distinct bigrams by shard, history and key: (shard, h, w, count), and for each token which one it is.
+
+    Bigrams of one history share a shard, so that it is sent once; with many shards a history is split over some of them,
+    so that the commonest one is never more than a few shards' usual load.
+    """
+    key = _key(h, w)
     uniq, first, back, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    shard = _shard(uniq, shards)
-    order = np.argsort(shard, kind="stable")
+    hs, ws = h[first], w[first]
+    part = textcore.mix(ws) % np.uint64(1 + shards // 64)
+    shard = _shard(textcore.mix(hs + part * np.uint64(0x9E3779B97F4A7C15)), shards)
+    order = np.lexsort((uniq, hs, shard))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    return shard[order], h[first][order], w[first][order], n[order], place[back]
+    return shard[order], hs[order], ws[order], n[order], place[back]
+
+
+def _packed_histories(h: np.ndarray) -> bytes:
+    """A run of equal histories is sent once, with its length."""
+    edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
+    return len(edge[:-1]).to_bytes(8, "little") + h[edge[:-1]].tobytes() + np.diff(edge).astype(np.int32).tobytes()
+
+
+def _histories(b: bytes) -> np.ndarray:
+    n = int.from_bytes(b[:8], "little")
+    return np.repeat(np.frombuffer(b, np.uint64, n, 8), np.frombuffer(b, np.int32, n, 8 + 8 * n))
+
+
+def _pack(docs: DataFrame, shards: int) -> DataFrame:
+    """(chunk, docs): the rows (doc_id, text), those of one batch and chunk compressed together."""
+
+    def run(batches):
+        for b in batches:
+            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+            chunk = b.column("chunk").to_numpy()
+            order = np.argsort(chunk, kind="stable")
+            kinds, blobs = [], []
+            for k, lo, hi in _runs(chunk[order]):
+                own = order[lo:hi].tolist()
+                raw = pickle.dumps(([ids[i] for i in own], [texts[i] for i in own]))
+                kinds.append(k)
+                blobs.append(len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True))
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "docs"])
+
+    chunk = F.pmod(F.xxhash64(F.lit(11), "doc_id", store.text_key(F.col("text"))), F.lit(shards)).cast("int")
+    return docs.select("doc_id", "text", chunk.alias("chunk")).mapInArrow(run, "chunk int, docs binary")
+
+
+def _unpack(column: pa.ChunkedArray) -> tuple[list, list]:
+    ids, texts = [], []
+    for x in column:
+        b = x.as_buffer()
+        got = pickle.loads(pa.decompress(b[8:], int.from_bytes(b[:8].to_pybytes(), "little"), "zstd"))
+        ids += got[0]
+        texts += got[1]
+    return ids, texts
 
 
 def _unigrams(w: np.ndarray, h: np.ndarray, shards: int):
@@ -102,11 +154,11 @@ def _count_chunks(docs: DataFrame, shards: int) -> DataFrame:
 
     def ask(t: pa.Table) -> pa.Table:
         chunk = t.column("chunk")[0].as_py()
-        w, h, _ = _tokens(t.column("text").to_pylist())
+        w, h, _ = _tokens(_unpack(t.column("docs"))[1])
         out = []
         s, hs, ws, n, _ = _bigrams(w, h, shards)
         for k, lo, hi in _runs(s):
-            out.append(("bigrams", k, chunk, None, None, None, None, hs[lo:hi].tobytes(), ws[lo:hi].tobytes(), n[lo:hi].astype(np.int32).tobytes()))
+            out.append(("bigrams", k, chunk, None, None, None, None, _packed_histories(hs[lo:hi]), ws[lo:hi].tobytes(), n[lo:hi].astype(np.int32).tobytes()))
         s, ws, n, m = _unigrams(w, h, shards)
         for k, lo, hi in _runs(s):
             out.append(("words", k, chunk, None, None, None, None, ws[lo:hi].tobytes(), n[lo:hi].astype(np.int32).tobytes(), m[lo:hi].astype(np.int32).tobytes()))
@@ -124,15 +176,14 @@ def _add_up(asked: DataFrame, min_count: int) -> DataFrame:
         flat = []
         own = [i for i, x in enumerate(kind) if x == "bigrams"]
         if own:
-            h, w = (np.concatenate([np.frombuffer(x[i], np.uint64) for i in own]) for x in (a, b))
+            h, w = np.concatenate([_histories(a[i]) for i in own]), np.concatenate([np.frombuffer(b[i], np.uint64) for i in own])
             n = np.concatenate([np.frombuffer(c[i], np.int32) for i in own])
-            key = textcore.mix(h * np.uint64(0xD6E8FEB86659FD93) + w)
-            _, first, back = np.unique(key, return_index=True, return_inverse=True)
+            _, first, back = np.unique(_key(h, w), return_index=True, return_inverse=True)
             total = np.bincount(back, n).astype(np.int64)
             answer, at = total[back], 0
             rows = []
             for i in own:
-                size = len(a[i]) // 8
+                size = len(b[i]) // 8
                 rows.append(("answer", shard, chunk[i], None, None, None, None, np.minimum(answer[at : at + size], 1 << 31).astype(np.uint32).tobytes(), None, None))
                 at += size
             some = total >= min_count
@@ -188,7 +239,7 @@ class Model:
 def train(docs: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFrame, Model]:
     """What the shards wrote (with their answers to chunks), partitioned by kind of row, and the model on top of it."""
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = store.written(_add_up(_count_chunks(docs, shards), min_count), "katz", by="kind")
+    counted = store.written(_add_up(_count_chunks(_pack(docs, shards), shards), min_count), "katz", by="kind")
     return counted, Model(counted, min_count)
 
 
@@ -200,8 +251,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     """
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     t = store.id_text(docs, id_col, text_col)
-    t = t.withColumn("chunk", F.pmod(F.xxhash64(F.lit(11), "doc_id", store.text_key(F.col("text"))), F.lit(shards)).cast("int"))
-    counted, model = train(t.select("chunk", "text"), min_count)
+    counted, model = train(t, min_count)
     d2 = model.d2
 
     def answer(asks: pa.Table, words: pa.Table) -> pa.Table:
@@ -218,7 +268,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     answers = counted.where("kind = 'answer'").select(F.lit("answer").alias("kind"), "shard", "chunk", "a", "b", "c").union(about_words.select("kind", "shard", "chunk", "a", "b", "c"))
 
     def evaluate(texts: pa.Table, got: pa.Table) -> pa.Table:
-        ids, raw = texts.column("doc_id"), texts.column("text").to_pylist()
+        ids, raw = _unpack(texts.column("docs"))
         w, h, doc = _tokens(raw)
         kind, shard = got.column("kind").to_pylist(), got.column("shard").to_pylist()
         a, b, c = (got.column(x).to_pylist() for x in "abc")
@@ -243,15 +293,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
         tokens = np.bincount(doc, minlength=len(raw))
         none = tokens == 0
         perplexity = np.exp(np.minimum(-total / np.maximum(tokens, 1), 700))
-        return pa.Table.from_arrays([ids, pa.array(tokens.astype(np.int64)), pa.array(np.round(total, 4) + 0.0), pa.array(np.round(perplexity, 4), mask=none)], ["doc_id", "n_tokens", "log_prob", "perplexity"])
+        return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens.astype(np.int64)), pa.array(np.round(total, 4) + 0.0), pa.array(np.round(perplexity, 4), mask=none)], ["doc_id", "n_tokens", "log_prob", "perplexity"])
 
-    return t.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(evaluate, "doc_id long, n_tokens long, log_prob double, perplexity double")
+    return _pack(t, shards).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(evaluate, "doc_id long, n_tokens long, log_prob double, perplexity double")
 
 
 def model_tables(docs: DataFrame, text_col: str = "text", min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
     """The model itself: words (w, n, m, p, alpha) and bigrams (h, w, n, p)."""
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    text = docs[text_col].cast("string")
-    _, model = train(docs.select(F.pmod(F.xxhash64(F.lit(11), text), F.lit(shards)).cast("int").alias("chunk"), text.alias("text")), min_count)
+    _, model = train(docs.select(F.lit(None).cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), min_count)
     words = model.words.select("w", "n", "m", "p", "alpha")
     return words, model.bigrams.join(words.select(F.col("w").alias("h"), "m"), "h").select("h", "w", "n", (F.col("discounted") / F.col("m")).alias("p"))

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: dict[int, list[str]] = {}
 
 
@@ -26,12 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: it is computed once and survives lost executors.
 
-    ``by`` partitions the table's files by a column. Shuffle files that nothing refers to any more are given back.
+    ``by`` partitions the table's files by a column. The shuffle files of the write are given back when it ends, and those
+    that nothing refers to any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _written.setdefault(id(spark), []).append(path)
     del df
     gc.collect()
