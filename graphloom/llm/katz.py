@@ -50,14 +50,14 @@ def discounts(n_r: dict[int, int], k: int = K, least: int = 1) -> np.ndarray:
 
 def _tokens(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all texts: word hashes, the hash before each (or the start sign), and each word's text."""
-    ws, hs, docs = [_EMPTY], [_EMPTY], [np.zeros(0, np.int64)]
+    ws, hs, docs = [_EMPTY], [_EMPTY], [np.zeros(0, np.int32)]
     for x in textcore.words(texts):
         h = np.empty_like(x.hashes)
         h[1:] = x.hashes[:-1]
         h[x.offsets[:-1][np.diff(x.offsets) > 0]] = START
         ws.append(x.hashes)
         hs.append(h)
-        docs.append(x.doc + x.lo)
+        docs.append((x.doc + x.lo).astype(np.int32))
     return np.concatenate(ws), np.concatenate(hs), np.concatenate(docs)
 
 
@@ -77,12 +77,15 @@ def _bigrams(w: np.ndarray, h: np.ndarray, shards: int):
     """
     key = _key(h, w)
     uniq, first, back, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    hs, ws = h[first], w[first]
+    hs, ws, n = h[first], w[first], n.astype(np.int32)
     part = textcore.mix(ws) % np.uint64(1 + shards // 64)
+    del key, first
     shard = _shard(textcore.mix(hs + part * np.uint64(0x9E3779B97F4A7C15)), shards)
+    del part
     order = np.lexsort((uniq, hs, shard))
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
+    del uniq
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
     return shard[order], hs[order], ws[order], n[order], place[back]
 
 
@@ -269,7 +272,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
 
     def evaluate(texts: pa.Table, got: pa.Table) -> pa.Table:
         ids, raw = _unpack(texts.column("docs"))
+        several = len(raw)
         w, h, doc = _tokens(raw)
+        del raw
         kind, shard = got.column("kind").to_pylist(), got.column("shard").to_pylist()
         a, b, c = (got.column(x).to_pylist() for x in "abc")
 
@@ -277,7 +282,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
             own = sorted((s, i) for i, (k, s) in enumerate(zip(kind, shard)) if k == what)
             return np.concatenate([np.frombuffer(column[i], kind_of) for _, i in own] or [np.zeros(0, kind_of)])
 
-        total = np.zeros(len(raw))
+        total = np.zeros(several)
         if len(w):
             _, _, _, _, which = _bigrams(w, h, shards)
             n = together("answer", a, np.uint32).astype(np.float64)[which]
@@ -289,8 +294,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
             kept = n >= min_count
             d = np.append(d2, 1.0)[np.minimum(n, len(d2)).astype(np.int64)]
             lp = np.where(kept, np.log(np.maximum(d * n, 1e-300) / np.maximum(m, 1)), lower)
-            total = np.bincount(doc, lp, len(raw))
-        tokens = np.bincount(doc, minlength=len(raw))
+            total = np.bincount(doc, lp, several)
+        tokens = np.bincount(doc, minlength=several)
         none = tokens == 0
         perplexity = np.exp(np.minimum(-total / np.maximum(tokens, 1), 700))
         return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens.astype(np.int64)), pa.array(np.round(total, 4) + 0.0), pa.array(np.round(perplexity, 4), mask=none)], ["doc_id", "n_tokens", "log_prob", "perplexity"])
