@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.filters import AND, BETWEEN, GT, GTE, LT, LTE, NOT, OR, HasKey
+from graphloom.operators import constraints, mutate, schema
 from graphloom.operators.aggregates import Avg, Count, Max, Min, Sum
 from graphloom.plans.specs import Boost, Hop, Near, Start
 from graphloom.sources import tables
@@ -285,3 +286,89 @@ def _(spark, d):
 SELECT id FROM r WHERE r <= 1""")
 def _(spark, d):
     return tables.vector_graph(spark, d).traverse(Start(where={"label": 1}), Hop(via_near=Near("emb", _Q), via_keep=1)).edges.select("id")
+
+
+# writes give new graphs
+
+
+@query("g_delete_detach", f"""WITH {EDGES}, gone AS (SELECT c_custkey * 16 + 3 AS id FROM customer WHERE c_mktsegment = 'BUILDING')
+SELECT kind, count(*) AS n FROM edges WHERE s NOT IN (SELECT id FROM gone) AND t NOT IN (SELECT id FROM gone) AND kind IN ('placed', 'in_nation') GROUP BY kind""")
+def _(spark, d):
+    g = mutate.delete_nodes(tables.order_graph(spark, d), BUILDING, detach=True).graph
+    return g.edges.where(F.col("kind").isin("placed", "in_nation")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("g_update", "SELECT CASE WHEN c_acctbal > 9000 THEN 'RICH' ELSE c_mktsegment END AS c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
+def _(spark, d):
+    g = mutate.update_nodes(tables.order_graph(spark, d), AND({"type": "customer"}, GT("c_acctbal", 9000)), set={"c_mktsegment": "RICH"}).graph
+    return g.aggregate(Start(where={"type": "customer"}), aggregates={"n": Count()}, group_by="c_mktsegment")
+
+
+@query("g_bag_update", f"SELECT id, 'seen' AS mark, NULL::VARCHAR AS value, event_type FROM {_BAG} WHERE k > 90")
+def _(spark, d):
+    g = mutate.update_nodes(tables.event_bags(spark, d), GT("k", 90), set={"mark": "seen"}, remove=["value"]).graph
+    a = g.node_access
+    return g.matching({"mark": "seen"}).select("id", a.text("mark").alias("mark"), a.text("value").alias("value"), a.text("event_type").alias("event_type"))
+
+
+@query("g_merge", """SELECT n_name, n_regionkey + (CASE WHEN n_name IN (SELECT n_name FROM nation ORDER BY n_nationkey LIMIT 3) THEN 100 ELSE 0 END) AS n_regionkey FROM nation
+UNION ALL SELECT 'ATLANTIS', 7""")
+def _(spark, d):
+    g = constraints.define(tables.order_graph(spark, d), [constraints.Unique("n_name")])
+    first = tables.read(spark, d, "nation").orderBy("n_nationkey").limit(3).select("n_name", F.lit("nation").alias("type"), (F.col("n_regionkey") + 100).alias("n_regionkey"))
+    new = first.unionByName(spark.createDataFrame([("ATLANTIS", "nation", 7)], first.schema))
+    g = mutate.merge_nodes(g, new, ["n_name"]).graph
+    return g.matching({"type": "nation"}).select("n_name", "n_regionkey")
+
+
+@query("g_violations_unique", "SELECT c_custkey * 16 + 3 AS id FROM customer WHERE c_nationkey IN (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) > 1)")
+def _(spark, d):
+    return constraints.Unique("c_nationkey").violations(tables.order_graph(spark, d))
+
+
+@query("g_violations_check", "SELECT c_custkey * 16 + 3 AS id FROM customer WHERE c_acctbal < 0")
+def _(spark, d):
+    return constraints.Check(GTE("c_acctbal", 0), "solvent", where={"type": "customer"}).violations(tables.order_graph(spark, d))
+
+
+@query("g_infer_counts", """SELECT 'event' AS type, key, json_type, n, (SELECT count(*) FROM events) AS total FROM (
+  SELECT 'type' AS key, 'string' AS json_type, count(*) AS n FROM events UNION ALL SELECT 'event_type', 'string', count(event_type) FROM events
+  UNION ALL SELECT 'value', 'number', count(value) FROM events UNION ALL SELECT 'k', 'number', count(CAST(props->>'$.k' AS INTEGER)) FROM events) WHERE n > 0
+UNION ALL SELECT 'user', key, json_type, (SELECT count(DISTINCT user_id) FROM events), (SELECT count(DISTINCT user_id) FROM events)
+FROM (VALUES ('type', 'string'), ('user_id', 'number')) AS t(key, json_type)""")
+def _(spark, d):
+    g = tables.event_bags(spark, d)
+    return schema.property_counts(g.nodes, g.node_access, "type")
+
+
+@query("g_endpoint_counts", f"""WITH {EDGES} SELECT kind, CASE kind WHEN 'in_region' THEN 'nation' WHEN 'in_nation' THEN CASE s % 16 WHEN 3 THEN 'customer' ELSE 'supplier' END
+  WHEN 'placed' THEN 'customer' WHEN 'contains' THEN 'order' WHEN 'supplied_by' THEN 'part' ELSE 'user' END AS source,
+  CASE kind WHEN 'in_region' THEN 'region' WHEN 'in_nation' THEN 'nation' WHEN 'placed' THEN 'order' WHEN 'contains' THEN 'part' WHEN 'supplied_by' THEN 'supplier' ELSE 'event' END AS target,
+  count(*) AS n FROM edges GROUP BY 1, 2, 3""")
+def _(spark, d):
+    return schema.endpoint_counts(tables.order_graph(spark, d))
+
+
+# the other languages
+
+
+@query("g_cypher", _one_hop("SELECT id, start_id, end_id FROM e"))
+def _(spark, d):
+    found = tables.order_graph(spark, d).cypher("MATCH (c:customer {c_mktsegment: 'BUILDING'})-[:placed]->(o:order) WHERE o.o_orderstatus = 'F' RETURN o")
+    return found.edges.select("id", "start_id", "end_id")
+
+
+@query("g_cypher_aggregate", "SELECT o_orderstatus, count(DISTINCT o_orderkey) AS n, max(o_totalprice) AS high FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 5000 GROUP BY 1")
+def _(spark, d):
+    return tables.order_graph(spark, d).cypher("MATCH (c:customer)-[:placed]->(o:order) WHERE c.c_acctbal > 5000 RETURN o.o_orderstatus, count(DISTINCT o) AS n, max(o.o_totalprice) AS high")
+
+
+@query("g_json", _one_hop("SELECT count(DISTINCT end_id) AS n FROM e"))
+def _(spark, d):
+    spec = {"start": {"where": {"type": "customer", "c_mktsegment": "BUILDING"}}, "hops": [{"via": "placed", "where": {"o_orderstatus": "F"}}], "aggregates": {"n": {"fn": "count"}}}
+    return tables.order_graph(spark, d).aggregate_json(spec)
+
+
+@query("g_export", "SELECT id FROM (SELECT CAST(r_regionkey AS BIGINT) * 16 + 1 AS id FROM region UNION ALL SELECT CAST(n_nationkey AS BIGINT) * 16 + 2 FROM nation UNION ALL SELECT c_custkey * 16 + 3 FROM customer UNION ALL SELECT s_suppkey * 16 + 4 FROM supplier UNION ALL SELECT p_partkey * 16 + 5 FROM part UNION ALL SELECT o_orderkey * 16 + 6 FROM orders UNION ALL SELECT DISTINCT user_id * 16 + 7 FROM events UNION ALL SELECT event_id * 16 + 8 FROM events) ORDER BY id LIMIT 100")
+def _(spark, d):
+    return tables.order_graph(spark, d).export(100).nodes.select("id")
