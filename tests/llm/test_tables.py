@@ -41,7 +41,8 @@ def test_vector_file_odd_tables(spark):
 
 
 def test_pipeline_keeps_and_drops(spark, tmp_path):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline
+
     word = lambda i, n, k=37: " ".join(f"t{(i * k + j * j + 7 * j) % 997}" for j in range(n))
     clean = [(i, word(i, 60) + ". ") for i in range(40)]
     passage = word(990, 30, 11) + ". " + word(991, 30, 13) + ". " + word(993, 30, 17) + ". "
