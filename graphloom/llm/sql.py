@@ -51,8 +51,25 @@ SELECT s.doc_id,
 FROM s LEFT JOIN gone USING (doc_id)
 """
 
+# the best window of an item's length begins where one of its shingles does
+LEAKS = r"""
+WITH b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) AS sh FROM b WHERE len(w) > 2),
+size AS (SELECT item_id, count(DISTINCT sh) AS size, count(*) AS length FROM i GROUP BY item_id),
+t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+d AS (SELECT doc_id, unnest(range(len(w) - 2)) AS pos, unnest(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) AS sh FROM t WHERE len(w) > 2),
+hit AS (SELECT doc_id, item_id, pos, sh, size, length FROM d JOIN (SELECT DISTINCT item_id, sh FROM i) USING (sh) JOIN size USING (item_id)),
+inside AS (
+  SELECT a.doc_id, a.item_id, a.pos, a.size, count(DISTINCT c.sh) AS n
+  FROM hit a JOIN hit c ON a.doc_id = c.doc_id AND a.item_id = c.item_id AND c.pos >= a.pos AND c.pos < a.pos + a.length
+  GROUP BY a.doc_id, a.item_id, a.pos, a.size
+)
+SELECT doc_id, item_id, round(max(n / size), 6) AS containment FROM inside WHERE n >= ceil(size * 0.7 - 1e-9) GROUP BY doc_id, item_id
+"""
+
 ORACLES: dict[str, str] = {
     "op3_substring_dedup": SPANS,
     "op5_chat_prefix_targets": CHAT,
     "op6_exact_top_k": TOP_K,
+    "op7_decontamination": LEAKS,
 }
