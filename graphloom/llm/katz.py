@@ -1,6 +1,6 @@
 """Katz backoff scoring with a word bigram model counted on the whole corpus.
 
-Documents are hashed into as many chunks as there are shuffle partitions. A chunk sends its distinct n-grams to the shards
+Documents are hashed into twice as many chunks as there are shuffle partitions. A chunk sends its distinct n-grams to the shards
 that own them, packed into one binary row for each shard, so the shuffle moves blobs and not words. A shard adds the counts
 up, answers each chunk with the counts it asked about, and writes its part of the model. Backoff weights come from a join
 of bigrams and unigrams; a chunk's words are answered likewise, and the chunk's tokens are scored recursively:
@@ -61,6 +61,10 @@ def _tokens(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(ws), np.concatenate(hs), np.concatenate(docs)
 
 
+def _shards(docs: DataFrame) -> int:
+    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _shard(key: np.ndarray, shards: int) -> np.ndarray:
     return ((key >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
 
@@ -101,7 +105,10 @@ def _histories(b: bytes) -> np.ndarray:
 
 
 def _pack(docs: DataFrame, shards: int) -> DataFrame:
-    """(chunk, docs): the rows (doc_id, text), those of one batch and chunk compressed together."""
+    """(chunk, docs): the rows (doc_id, text), those of one batch and chunk compressed together.
+
+    A Python worker holds a whole chunk at once, so there are two for each shuffle partition.
+    """
 
     def run(batches):
         for b in batches:
@@ -116,7 +123,7 @@ def _pack(docs: DataFrame, shards: int) -> DataFrame:
                 blobs.append(len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True))
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "docs"])
 
-    chunk = F.pmod(F.xxhash64(F.lit(11), "doc_id", store.text_key(F.col("text"))), F.lit(shards)).cast("int")
+    chunk = F.pmod(F.xxhash64(F.lit(11), "doc_id", store.text_key(F.col("text"))), F.lit(2 * shards)).cast("int")
     return docs.select("doc_id", "text", chunk.alias("chunk")).mapInArrow(run, "chunk int, docs binary")
 
 
@@ -241,7 +248,7 @@ class Model:
 
 def train(docs: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFrame, Model]:
     """What the shards wrote (with their answers to chunks), partitioned by kind of row, and the model on top of it."""
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = _shards(docs)
     counted = store.written(_add_up(_count_chunks(_pack(docs, shards), shards), min_count), "katz", by="kind")
     return counted, Model(counted, min_count)
 
@@ -252,7 +259,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     ``log_prob`` is the natural logarithm of the whole text's probability. Texts without words (null, empty) have 0 tokens,
     log_prob 0 and a null perplexity. Repeated rows count as often as they occur; ids may be null or repeated.
     """
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = _shards(docs)
     t = store.id_text(docs, id_col, text_col)
     counted, model = train(t, min_count)
     d2 = model.d2
