@@ -14,6 +14,9 @@ SENTENCE = r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+$"
 #: two-sentence runs inside is too short to count by itself.
 PAIR, PAIR_WORDS = 2, 20
 TRIPLE, TRIPLE_WORDS = 3, 12
+#: Where three sentences have fewer words than that, a run goes on to either side until it has them. A sentence counts as
+#: one word at least, so that ends within ``TRIPLE_WORDS`` sentences. A sentence of more than this many words is a run by itself.
+SINGLE_WORDS = 50
 
 
 def sentences(text: Column) -> Column:
@@ -29,6 +32,12 @@ def _n_words(bare: Column) -> Column:
     return F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1
 
 
+def _reach(part: Column) -> Column:
+    """(w, n): how many sentences, from the first of ``part`` on, it takes to have ``TRIPLE_WORDS`` words, or all there are."""
+    zero = F.struct(F.lit(0).alias("w"), F.lit(0).alias("n"))
+    return F.aggregate(part, zero, lambda a, x: F.when(a["w"] >= TRIPLE_WORDS, a).otherwise(F.struct((a["w"] + x["w"]).alias("w"), (a["n"] + 1).alias("n"))))
+
+
 def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k1, k2, doc_id, tid, pos, n): a 128-bit hash of every run that counts, where it starts and how long it is."""
     one = F.transform(F.transform(sentences(F.col("text")), _bare), lambda s: F.struct(F.xxhash64(s).alias("a"), F.xxhash64(F.lit(1), s).alias("b"), _n_words(s).alias("w")))
@@ -41,11 +50,21 @@ def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         def run(n: int, *parts: Column) -> Column:
             return F.struct(F.xxhash64(F.lit(n), *(p["a"] for p in parts)).alias("k1"), F.xxhash64(F.lit(-n), *(p["b"] for p in parts)).alias("k2"), i.alias("pos"), F.lit(n).alias("n"))
 
+        def long_run(pos: Column, n: Column) -> Column:
+            own = F.slice(s, pos + 1, n)
+            return F.struct(F.xxhash64(n, F.transform(own, lambda p: p["a"])).alias("k1"), F.xxhash64(-n, F.transform(own, lambda p: p["b"])).alias("k2"), pos.alias("pos"), n.alias("n"))
+
+        # three sentences that are too short: from the first of them on, and back from the last of them
+        on = F.transform(F.array(_reach(F.slice(s, i + 1, TRIPLE_WORDS))), lambda r: F.when(r["w"] >= TRIPLE_WORDS, long_run(i, r["n"])))
+        before = F.reverse(F.slice(s, F.greatest(i + 3 - TRIPLE_WORDS, F.lit(0)) + 1, F.least(i + 3, F.lit(TRIPLE_WORDS))))
+        back = F.transform(F.array(_reach(before)), lambda r: F.when(r["w"] >= TRIPLE_WORDS, long_run(i + 3 - r["n"], r["n"])))
+        short = x["w"] + y["w"] + z["w"] < TRIPLE_WORDS
         # the last sentences lack a second or third one: comparisons with null are not true
-        return F.array(F.when(two, run(PAIR, x, y)), F.when(three, run(TRIPLE, x, y, z)))
+        few = F.array(F.when(x["w"] > SINGLE_WORDS, run(1, x)), F.when(two, run(PAIR, x, y)), F.when(three, run(TRIPLE, x, y, z)))
+        return F.when(short, F.concat(on, back)).otherwise(few)
 
     base = store.id_text(docs, id_col, text_col).select("doc_id", store.text_key(F.col("text")).alias("tid"), one.alias("s"))
-    all_runs = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size("s") - 2, F.lit(0))), lambda i: at(F.col("s"), i)))
+    all_runs = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size("s") - 1, F.lit(0))), lambda i: at(F.col("s"), i)))
     return base.select("doc_id", "tid", F.explode(F.filter(all_runs, lambda r: r.isNotNull())).alias("r")).select("r.k1", "r.k2", "doc_id", "tid", "r.pos", "r.n")
 
 
@@ -64,8 +83,9 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
     """``docs`` without the sentences covered by a repeated run that isn't its first occurrence.
 
-    A run is two consecutive sentences with 20 words or more, or three with 12 or more; sentences compare without case and
-    the white space around them. Every row stays, all columns as they were, but for the text; a text may become empty. With
+    A run is two consecutive sentences with 20 words or more, three with 12 or more, or as many more as it takes to have 12;
+    and one sentence of more than 50 words. So a repeated passage of more than 50 words in whole sentences is always found,
+    however short those are. Sentences compare without case and the white space around them. Every row stays, all columns as they were, but for the text; a text may become empty. With
     ``removed_col``, the number of removed sentences is added. Null texts stay null. Rows equal in id and text count as
     one document, so they do not empty each other; a null doc_id is an id that comes last.
     """

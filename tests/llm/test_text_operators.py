@@ -206,6 +206,36 @@ def test_spans(spark, odd, empty):
     assert spans.deduplicate(empty).count() == 0
 
 
+def brute_passages(docs, least=50):
+    """The sentences that lie in a passage of more than ``least`` words that an earlier document has too."""
+    split = lambda t: [x.strip(" \t\r\n").lower() for x in re.findall(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+$", t)]
+    cut, gone = [split(t) for _, t in docs], {}
+    for k, (i, _) in enumerate(docs):
+        for a in cut[:k]:
+            for p in range(len(cut[k])):
+                for q in range(len(a)):
+                    n = 0
+                    while p + n < len(cut[k]) and q + n < len(a) and cut[k][p + n] == a[q + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in a[q : q + n]) > least:
+                        gone.setdefault(i, set()).update(range(p, p + n))
+    return gone
+
+
+def test_spans_find_passages_of_any_sentences(spark):
+    r = random.Random(11)
+    text = lambda sizes: "".join(sentence(r, n, 10**9) for n in sizes)
+    shared = [text(x) for x in ([1] * 60, [2] * 30, [3, 1] * 14, [1, 2, 1, 30, 1, 1, 20, 2, 1], [60], [25, 25, 1])]
+    docs = [(i, text([5, 2, 9]) + shared[i % 6] + text([1, 12, 2]), "en") for i in range(12)]
+    docs.append((12, text([1] * 80 + [12, 3]), "en"))  # short sentences, but nothing that repeats
+    gone = brute_passages([d[:2] for d in docs])
+    assert set(gone) == set(range(6, 12))
+    got = {x["doc_id"]: x for x in spans.deduplicate(spark.createDataFrame(docs, SCHEMA), removed_col="n").collect()}
+    for i, t, _ in docs:
+        parts = re.findall(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+$", t)
+        assert got[i]["text"] == "".join(x for k, x in enumerate(parts) if k not in gone.get(i, ())) and got[i]["n"] == len(gone.get(i, ()))
+
+
 # decontamination
 
 
