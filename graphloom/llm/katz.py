@@ -10,8 +10,9 @@ of bigrams and unigrams; a chunk's words are answered likewise, and the chunk's
     p(w)     = d(c(w)) * c(w) / N           for words of the corpus
 
 d are Good-Turing discounts (Katz's, for counts up to ``K``), alpha(h) makes the probabilities after h sum to 1 exactly, and
-what the discounts leave of the unigrams is the share of unknown words. As Katz proposed, bigrams seen only once are left
-out of the model and backed off from. A document begins with a start sign.
+what the discounts leave of the unigrams is the share of unknown words. Bigrams seen fewer than ``min_count`` times are left
+out of the model and backed off from: with 2 (the default) those seen once, as Katz proposed; with 1, as the query has it,
+none. A document begins with a start sign.
 """
 
 from __future__ import annotations

@@ -20,7 +20,7 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm import katz
 
-    return katz.score(_table(spark, sf_dir, "documents"))
+    return katz.score(_table(spark, sf_dir, "documents"), min_count=1)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

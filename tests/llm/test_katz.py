@@ -63,6 +63,19 @@ def test_scores_are_those_of_plain_recursion(spark):
         assert (got[i]["perplexity"] is None) == (not w)
 
 
+def test_query_keeps_bigrams_seen_once(spark, tmp_path):
+    from graphloom.llm import queries
+
+    texts = [*corpus(), "only here", None]
+    spark.createDataFrame([*enumerate(texts)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    p, _, _ = brute(texts, least=1)
+    got = {r["doc_id"]: r["log_prob"] for r in queries.op2_katz_backoff(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        w = words(t)
+        assert got[i] == pytest.approx(sum(math.log(max(p(h, x), 1e-300)) for h, x in zip(["<s>", *w], w)), abs=1e-3)
+
+
 def test_probabilities_after_each_history_sum_to_one(spark):
     texts = corpus()
     docs = spark.createDataFrame([*enumerate(texts)], SCHEMA)
