@@ -74,7 +74,10 @@ class Server:
         return found.collect()
 
     def _rows(self, df) -> dict:
-        return {"rows": [{k: v.toPython() if hasattr(v, "toPython") else _plain(v) for k, v in r.asDict().items()} for r in df.limit(self.max_nodes).collect()]}
+        rows = df.limit(self.max_nodes + 1).collect()
+        if len(rows) > self.max_nodes:
+            raise GraphError(f"more than {self.max_nodes} rows; narrow the question")
+        return {"rows": [{k: v.toPython() if hasattr(v, "toPython") else _plain(v) for k, v in r.asDict().items()} for r in rows]}
 
     def _list_graphs(self, name, g, args) -> dict:
         return {"graphs": sorted(self.graphs)}

@@ -34,6 +34,13 @@ def test_tools(g):
             reader.call(tool, args)
 
 
+def test_too_many_rows_are_refused(g):
+    ask = {"start": {}, "aggregates": {"n": {"fn": "count"}}, "group_by": "name"}
+    assert len(Server({"g": g}, max_nodes=3).call("aggregate", ask)["rows"]) == 3
+    with pytest.raises(GraphError):
+        Server({"g": g}, max_nodes=2).call("aggregate", ask)
+
+
 def test_http(g):
     server = Server({"g": g}).http()
     threading.Thread(target=server.serve_forever, daemon=True).start()
