@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,21 +88,21 @@ def _signatures(w: textcore.Words, weight: np.ndarray) -> tuple[np.ndarray, np.n
     return packed, np.diff(off) > 0
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, s0..s3): one row for every row that has an id and at least one word."""
-    t = store.id_text(docs, id_col, text_col)
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", null_ids: bool = False) -> DataFrame:
+    """(doc_id, tid, s0..s3): one row for every row that has an id (or with ``null_ids`` none) and at least one word."""
+    t = store.id_text(docs, id_col, text_col).withColumn("tid", store.text_key(F.col("text")))
     weight = t.sparkSession.sparkContext.broadcast(weights_of(document_frequencies(t)))
 
     def sign(batches):
         for b in batches:
-            ids, texts = b.column("doc_id"), b.column("text").to_pylist()
+            texts = b.column("text").to_pylist()
             for w in textcore.words(texts):
                 sig, some = _signatures(w, weight.value)
-                own = ids.slice(w.lo, w.hi - w.lo).filter(pa.array(some))
-                yield pa.RecordBatch.from_arrays([own, *(pa.array(sig[some, k]) for k in range(sig.shape[1]))], ["doc_id", *_SIG])
+                own = (b.column(c).slice(w.lo, w.hi - w.lo).filter(pa.array(some)) for c in ("doc_id", "tid"))
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(sig[some, k]) for k in range(sig.shape[1]))], ["doc_id", "tid", *_SIG])
 
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.LongType()) for c in _SIG)])
-    return t.where("doc_id is not null").mapInArrow(sign, schema)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tid", T.LongType()), *(T.StructField(c, T.LongType()) for c in _SIG)])
+    return (t if null_ids else t.where("doc_id is not null")).mapInArrow(sign, schema)
 
 
 def _cuts(segments: int) -> list[tuple[int, int]]:
@@ -203,19 +203,50 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     any word (null, empty, only punctuation) take part in no group. Rows that share a doc_id are one document to this
     operator: it is a copy if any of its rows is. An empty table gives an empty result.
     """
-    sig = store.written(signatures(docs, id_col, text_col), "signatures")
-    groups = store.written(sig.groupBy(*_SIG).agg(F.min("doc_id").alias("rep")), "groups")
+    sig = store.written(signatures(docs, id_col, text_col).select("doc_id", *_SIG), "signatures")
+    groups = _groups(sig, F.min("doc_id").alias("first"))
+    first = groups.select("rep", "first")
+    near = near_pairs(groups, segments, max_distance).join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").where("x <> y")
     # one id may carry several signatures (repeated ids): its groups are then one
-    shared = groups.groupBy("rep").agg(*(F.min(c).alias(c) for c in _SIG))
-    member = sig.join(groups, _SIG).select("doc_id", "rep").distinct()
-    links = near_pairs(shared, segments, max_distance).select("a", "b").union(member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-    return components(links).where("id <> root").select(F.col("id").alias("doc_id"), F.col("root").alias("kept_id"))
+    same = sig.join(groups, _SIG).where("doc_id <> first").select("first", "doc_id").distinct()
+    return components(near.select(F.col("x").alias("a"), F.col("y").alias("b")).union(same)).where("id <> root").select(F.col("id").alias("doc_id"), F.col("root").alias("kept_id"))
+
+
+def _groups(sig: DataFrame, *what: Column) -> DataFrame:
+    """(rep, s0..s3, ...): the distinct signatures, each with a key of its own, and what else is asked of their rows."""
+    return store.written(sig.groupBy(*_SIG).agg(*what).withColumn("rep", F.monotonically_increasing_id()), "groups")
+
+
+def drop_near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segments: int = SEGMENTS, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """``docs`` with one row for each group of near-duplicate texts, all columns as they were.
+
+    Rows are judged by their own text: those that share a doc_id but not a text are as different as any others, and a null
+    doc_id is an id that comes last. The row with the smallest (doc_id, text key) stays; of rows equal in both, one does.
+    Texts without any word are no copies, but of rows of one id and text.
+    """
+    from pyspark.sql import Window as W
+
+    sig = store.written(signatures(docs, id_col, text_col, null_ids=True), "signatures")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")
+    groups = _groups(sig, F.min(row).alias("first"), F.max(row).alias("last"))
+    roots = components(near_pairs(groups, segments, max_distance).select("a", "b"))
+    linked = groups.join(roots, groups["rep"] == roots["id"], "left").where("id is not null or first <> last").withColumn("root", F.coalesce("root", "rep"))
+    stays = linked.groupBy("root").agg(F.min("first").alias("stays"))
+    rows = sig.join(linked.select(*_SIG, "root"), _SIG).join(stays, "root").where(row != F.col("stays")).select(F.col("doc_id").alias("__gone"), F.col("tid").alias("__gone_tid")).distinct()
+    tid, rank, words = (store.fresh(docs, x) for x in ("tid", "rank", "words"))
+    marked = docs.withColumn(tid, store.text_key(docs[text_col].cast("string")))
+    kept = marked.join(rows, marked[id_col].cast("long").eqNullSafe(rows["__gone"]) & (marked[tid] == rows["__gone_tid"]), "left_anti")
+    some = sig.where("doc_id is null").select(F.col("tid").alias(words)).distinct()
+    kept = kept.join(some, (kept[tid] == some[words]) & kept[id_col].isNull(), "left")
+    again = F.row_number().over(W.partitionBy(F.col(id_col).cast("long"), tid, F.when(F.col(id_col).isNull() & F.col(words).isNull(), F.monotonically_increasing_id())).orderBy(tid))
+    return kept.withColumn(rank, again).where(F.col(rank) == 1).drop(tid, rank, words)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one row for each group of near-duplicates, all columns as they were.
 
-    Rows with a null id stay. Of rows that share a doc_id the one with the smallest text stays.
+    Rows with a null id stay. Of rows that share a doc_id the one with the smallest text stays; where their texts are to be
+    judged one by one, see ``drop_near_duplicate_rows``.
     """
     from pyspark.sql import Window as W
 

@@ -157,6 +157,23 @@ def test_simhash_recall_and_components(spark, odd, empty):
     assert simhash.duplicates(empty).count() == 0
 
 
+def test_simhash_of_repeated_ids(spark):
+    r = random.Random(12)
+    base = [" ".join(f"w{r.randrange(5000)}" for _ in range(80)) for _ in range(30)]
+    near = lambda t: " ".join([*t.split()[:-1], "changed"])
+    # each of the ids has two different texts; a near copy of either has an id of its own
+    rows = [(i, base[2 * i + k], "en") for i in range(10) for k in range(2)]
+    rows += [(100 + 2 * i + k, near(base[2 * i + k]), "en") for i in range(10) for k in range(2)]
+    rows += [(None, near(base[0]), "en"), (None, base[25], "en"), (None, base[25], "en"), (None, "", "en"), (None, None, "en"), (200, base[26], "en"), (200, base[26], "en")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {x["doc_id"]: x["kept_id"] for x in simhash.duplicates(docs).collect()}
+    assert got == {100 + n: n // 2 for n in range(20)}
+    kept = simhash.drop_near_duplicate_rows(docs)
+    assert kept.columns == docs.columns
+    want = [*rows[:20], (None, base[25], "en"), (None, "", "en"), (None, None, "en"), (200, base[26], "en")]
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, want))
+
+
 def test_variants_meet_within_the_radius():
     r = np.random.default_rng(6)
     a = r.integers(-(2**63), 2**63 - 1, (200, 4), np.int64)
