@@ -165,6 +165,32 @@ def _(spark, d):
     return tables.ring_graph(spark, d).aggregate(_RING_START, Hop(hops=(1, 5)), aggregates={"n": Count()})
 
 
+# the walks from above, from every node of a kind
+
+_ALL_SEED, _ALL = "SELECT c_custkey * 16 + 3 AS id FROM customer", Start(where={"type": "customer"})
+_RING_ALL_SEED, _RING_ALL = "SELECT c_custkey AS id FROM customer", Start(where=lambda a: a.raw("c_nationkey").isNotNull())
+
+
+@query("g_walk_range_edges_all", _recursive(EDGES, _ALL_SEED, 1, 3, "SELECT p_partkey * 16 + 5 FROM part", "SELECT DISTINCT unnest(es) AS id FROM landed"))
+def _(spark, d):
+    return tables.order_graph(spark, d).traverse(_ALL, _RANGE[1]).edges.select("id")
+
+
+@query("g_walk_exact_all", _recursive(EDGES, _ALL_SEED, 4, 4, "SELECT CAST(n_nationkey AS BIGINT) * 16 + 2 FROM nation UNION ALL SELECT s_suppkey * 16 + 4 FROM supplier", "SELECT DISTINCT unnest(es) AS id FROM landed"))
+def _(spark, d):
+    return tables.order_graph(spark, d).traverse(_ALL, Hop(hops=4, where={"type": ["nation", "supplier"]})).edges.select("id")
+
+
+@query("g_walk_cycles_edges_all", _recursive(_RING, _RING_ALL_SEED, 2, 4, "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'", "SELECT DISTINCT unnest(es) AS id FROM landed"))
+def _(spark, d):
+    return tables.ring_graph(spark, d).traverse(_RING_ALL, Hop(hops=(2, 4), where={"c_mktsegment": "BUILDING"})).edges.select("id")
+
+
+@query("g_walk_cycles_count_all", _recursive(_RING, _RING_ALL_SEED, 1, 5, "SELECT c_custkey FROM customer", "SELECT count(DISTINCT t) AS n FROM landed"))
+def _(spark, d):
+    return tables.ring_graph(spark, d).aggregate(_RING_ALL, Hop(hops=(1, 5)), aggregates={"n": Count()})
+
+
 _AGG = {"n": Count(), "named": Count("o_orderpriority"), "priorities": Count("o_orderpriority", distinct=True), "total": Sum("o_totalprice"), "mean": Avg("o_totalprice"), "low": Min("o_totalprice"), "high": Max("o_totalprice")}
 _AGG_SQL = """count(*) AS n, count(o_orderpriority) AS named, count(DISTINCT o_orderpriority) AS priorities, round(coalesce(sum(o_totalprice), 0), 2) AS total,
   round(avg(o_totalprice), 6) AS mean, min(o_totalprice) AS low, max(o_totalprice) AS high"""
@@ -226,6 +252,11 @@ def _(spark, d):
     return tables.event_bags(spark, d).traverse(Start(where=AND({"type": "user"}, LT("user_id", 10))), Hop(via="performed", where={"event_type": "view"})).edges.select("id")
 
 
+@query("g_bag_traverse_all", "SELECT event_id * 16 + 7 AS id FROM events WHERE event_type = 'view'")
+def _(spark, d):
+    return tables.event_bags(spark, d).traverse(Start(where={"type": "user"}), Hop(via="performed", where={"event_type": "view"})).edges.select("id")
+
+
 # vectors; the query vector is fixed
 
 _Q = [((i * 37) % 11 - 5) / 7 for i in range(64)]

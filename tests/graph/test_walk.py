@@ -43,3 +43,16 @@ def test_walks(spark, seed, acyclic):
 def test_self_loop_counts_as_a_first_step(spark):
     got = walk.walk(*frames(spark, [1], [(0, 1, 1)], None), 1, 3, None)
     assert [x["id"] for x in got.match.collect()] == [1]
+
+
+@pytest.mark.parametrize("name", ["g_walk_range_edges_all", "g_walk_exact_all", "g_walk_cycles_edges_all", "g_walk_cycles_count_all", "g_bag_traverse_all"])
+def test_walks_from_all_nodes_are_those_of_the_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    from graphloom import queries
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("nation", "customer", "supplier", "orders", "lineitem", "part", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    want = sorted(con.execute(queries.ORACLES[name]).fetchall())
+    assert want and sorted(map(tuple, queries.QUERIES[name](spark, d).collect())) == want
