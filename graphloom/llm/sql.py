@@ -15,33 +15,38 @@ SELECT conv_id, turn, n_context, prompt, text AS reply, CAST(length(prompt) AS I
 FROM r WHERE role = 'assistant'
 """
 
+# every row whose id is divisible by 100 is a query
 TOP_K = """
 WITH v AS (SELECT vec_id, min(embedding)::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL GROUP BY vec_id),
 d AS (
   SELECT a.vec_id, b.vec_id AS neighbor_id, list_distance(a.v, b.v) AS distance
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
 ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM d)
 SELECT vec_id, rank, neighbor_id, round(distance, 6) AS distance FROM r WHERE rank <= 10
 """
 
-# the place of a sentence's run among all equal runs decides; sentences are compared without case and outer white space
+# runs as short as they can be with 12 words and two sentences, from either side, and long single sentences; the place of a
+# run among all equal runs decides; sentences are compared without case and outer white space
 SPANS = r"""
 WITH s AS (
-  SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+$') AS raw FROM documents
+  SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^.!?,;:\n]*[.!?,;:\n]+[ \t\n\x0b\f\r]*|[^.!?,;:\n]+$') AS raw FROM documents
+), b AS (
+  SELECT doc_id, list_transform(raw, lambda x: lower(trim(x, chr(32) || chr(9) || chr(13) || chr(10)))) AS xs FROM s
 ), n AS (
-  SELECT doc_id, unnest(list_transform(raw, lambda x: lower(trim(x, chr(32) || chr(9) || chr(13) || chr(10))))) AS x,
-    unnest(range(len(raw))) AS pos FROM s
+  SELECT doc_id, unnest(xs) AS x, unnest(range(len(xs))) AS pos FROM b
+), w AS (
+  SELECT doc_id, pos, length(x) - length(replace(x, ' ', '')) + 1 AS w FROM n
 ), m AS (
-  SELECT *, length(x) - length(replace(x, ' ', '')) + 1 AS w FROM n
-), q AS (
-  SELECT doc_id, pos, x, w, lead(x) OVER o AS x2, lead(w) OVER o AS w2, lead(x, 2) OVER o AS x3, lead(w, 2) OVER o AS w3
-  FROM m WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+  SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS c FROM w
+), p AS (
+  SELECT m.doc_id, m.pos, o.pos - m.pos + 1 AS n, o.c - m.c + m.w AS total, m.w AS w1, o.w AS w2
+  FROM m JOIN m o ON m.doc_id = o.doc_id AND o.pos > m.pos AND o.pos < m.pos + 12
 ), runs AS (
-  SELECT doc_id, pos, 2 AS n, [x, x2] AS run FROM q WHERE w + w2 >= 20
+  SELECT doc_id, pos, n, xs[pos + 1 : pos + n] AS run FROM p JOIN b USING (doc_id) WHERE total >= 12 AND (n = 2 OR total - w1 < 12 OR total - w2 < 12)
   UNION ALL
-  SELECT doc_id, pos, 3, [x, x2, x3] FROM q WHERE NOT (w + w2 >= 20 AND w2 + w3 >= 20) AND w + w2 + w3 >= 12
+  SELECT doc_id, pos, 1, [x] FROM n JOIN w USING (doc_id, pos) WHERE w > 24
 ), later AS (
-  SELECT doc_id, pos, n FROM (SELECT *, row_number() OVER (PARTITION BY n, run ORDER BY doc_id, pos) AS i FROM runs) WHERE i > 1
+  SELECT doc_id, pos, n FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS i FROM runs) WHERE i > 1
 ), gone AS (
   SELECT doc_id, list_distinct(flatten(list(range(pos, pos + n)))) AS gone FROM later GROUP BY doc_id
 )

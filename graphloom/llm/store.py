@@ -3,25 +3,15 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_written: dict[int, list[str]] = {}
-
+from graphloom.operators import lineage
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="graphloom-")
-        sc.setCheckpointDir(folder)
-        folder = sc.getCheckpointDir()
-    return folder.rstrip("/")
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Deletes every table written so far; frames still reading them become invalid.
+release = lineage.release
 
 
 def written(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
@@ -31,7 +21,7 @@ def written(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
     that nothing refers to any more.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = lineage.temporary(spark, name)
     schema = df.schema
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
@@ -40,19 +30,15 @@ def written(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
         (writer.partitionBy(by) if by else writer).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    _written.setdefault(id(spark), []).append(path)
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table that ``written`` made for this session; frames still reading them become invalid."""
-    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    for path in _written.pop(id(spark), []):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+def small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """``df``, marked to be broadcast if it has been counted to have no more than ``most`` rows; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def fresh(df: DataFrame, base: str) -> str:
