@@ -1,13 +1,15 @@
 """SimHash near-duplicate search over deletion-variant signatures.
 
-Every document gets a 256-bit SimHash of its set of words, each word weighted by its inverse document frequency in the
-whole corpus. Cutting 256 bits into m segments, two signatures at distance <= 2m - 1 have a segment that differs by at
-most one bit (with exact-match segments the same radius needs 2m of them). Each segment is indexed once for each of its
-bits, with that bit deleted, so such pairs meet in an equality join; every meeting is verified on the full signature.
-
-Segments of 23 bits (m = 11) make meetings certain up to distance 21 and likely beyond: verification accepts up to
-``max_distance``, where recall against brute force was measured above 0.95. Signatures are collapsed before
-the join, so thousands of exact copies cost one signature.
+Every document gets a 256-bit SimHash of its words, each weighted by the logarithm of one more than its count in the
+document, so a signature depends on the document alone. Cutting 256 bits into m segments, two signatures at distance
+<= 2m - 1 have a segment that differs by at most one bit (with exact-match segments the same radius needs 2m of them). Each
+segment is indexed once for each of its bits, with that bit deleted, so such pairs meet in an equality join.
+
+A meeting also carries what follows its segment around the ring of segments. Of a pair within distance D some segment begins a
+ring of which the first l segments differ in at most l * D / m bits, for every l; meetings where the next segments differ
+in more are dropped on the spot. Every other one is verified on the full signature. Nothing within ``2m - 1`` is lost and
+nothing beyond it is accepted: with 13 segments that is 25 bits of 256. Signatures are collapsed before the join, so
+thousands of exact copies cost one signature.
 """
 
 from __future__ import annotations
@@ -21,54 +23,34 @@ from pyspark.sql import types as T
 from graphloom.llm import store, textcore
 
 BITS = 256
-SEGMENTS = 11
-MAX_DISTANCE = 52
-DF_BUCKETS = 1 << 18
+SEGMENTS = 13
+#: The farthest that two near-duplicates are apart, and what the index finds for certain.
+MAX_DISTANCE = 2 * SEGMENTS - 1
+#: Bits of a key that hold which segment and bit it is about; the bits of the ring after a segment take what is left of 64.
+_PLACE = 8
 _SIG = [f"s{i}" for i in range(BITS // 64)]
 _U = np.uint64
 
 
-def _distinct(w: textcore.Words) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct words of each text: hashes, ordered within a text, and offsets."""
+def _counted(w: textcore.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of each text, ordered within a text: hashes, their counts, and offsets by text."""
     order = np.lexsort((w.hashes, w.doc))
     h, d = w.hashes[order], w.doc[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    return h[new], np.searchsorted(d[new], np.arange(w.hi - w.lo + 1))
+    at = np.flatnonzero(new)
+    return h[at], np.diff(np.append(at, len(h))), np.searchsorted(d[at], np.arange(w.hi - w.lo + 1))
 
 
-def document_frequencies(docs: DataFrame, buckets: int = DF_BUCKETS) -> np.ndarray:
-    """By word-hash bucket, in how many documents a word of it occurs; the last entry counts documents with words.
-
-    Reads every document; what comes to the driver is bounded by ``buckets``, not by the data.
-    """
-
-    def count(batches):
-        total = np.zeros(buckets + 1, np.int64)
-        for b in batches:
-            for w in textcore.words(b.column("text").to_pylist()):
-                h, off = _distinct(w)
-                doc = np.repeat(np.arange(w.hi - w.lo), np.diff(off)).astype(np.int64)
-                both = np.unique(doc * buckets + (h & _U(buckets - 1)).astype(np.int64))
-                total[:-1] += np.bincount(both % buckets, minlength=buckets)
-                total[-1] += int((np.diff(off) > 0).sum())
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["bucket", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(buckets + 1, np.int64)
-    total[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return total
+def weights_of(counts: np.ndarray) -> np.ndarray:
+    """Integer weights (16ths of the logarithm of one more than a word's count), so that sums are exact in any order."""
+    return np.round(16 * np.log1p(counts)).astype(np.float32)
 
 
-def weights_of(df: np.ndarray) -> np.ndarray:
-    """Integer weights (16ths of the inverse document frequency), so that sums are exact in any order."""
-    return np.maximum(1, np.round(16 * np.log((1 + df[-1]) / (1 + df[:-1])))).astype(np.float32)
-
-
-def _signatures(w: textcore.Words, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _signatures(w: textcore.Words) -> tuple[np.ndarray, np.ndarray]:
     """For each text of a slice, its 256 bits as four 64-bit values, and whether it has any word."""
-    h, off = _distinct(w)
+    h, counts, off = _counted(w)
+    weight = weights_of(counts)
     n = w.hi - w.lo
     score = np.zeros((n, BITS), np.float64)
     for a in range(0, len(h), 1 << 14):
@@ -77,7 +59,7 @@ def _signatures(w: textcore.Words, weight: np.ndarray) -> tuple[np.ndarray, np.n
         for k in range(BITS // 64):
             x[:, k] = textcore.mix(h[a:z] + _U((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
         bits = np.unpackbits(x.view(np.uint8), axis=1).astype(np.float32)
-        wt = weight[(h[a:z] & _U(len(weight) - 1)).astype(np.int64)]
+        wt = weight[a:z]
         for d in range(int(np.searchsorted(off, a, "right")) - 1, n):
             lo, hi = max(int(off[d]), a), min(int(off[d + 1]), z)
             if lo >= z:
@@ -91,13 +73,12 @@ def _signatures(w: textcore.Words, weight: np.ndarray) -> tuple[np.ndarray, np.n
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", null_ids: bool = False) -> DataFrame:
     """(doc_id, tid, s0..s3): one row for every row that has an id (or with ``null_ids`` none) and at least one word."""
     t = store.id_text(docs, id_col, text_col).withColumn("tid", store.text_key(F.col("text")))
-    weight = t.sparkSession.sparkContext.broadcast(weights_of(document_frequencies(t)))
 
     def sign(batches):
         for b in batches:
             texts = b.column("text").to_pylist()
             for w in textcore.words(texts):
-                sig, some = _signatures(w, weight.value)
+                sig, some = _signatures(w)
                 own = (b.column(c).slice(w.lo, w.hi - w.lo).filter(pa.array(some)) for c in ("doc_id", "tid"))
                 yield pa.RecordBatch.from_arrays([*own, *(pa.array(sig[some, k]) for k in range(sig.shape[1]))], ["doc_id", "tid", *_SIG])
 
@@ -110,50 +91,84 @@ def _cuts(segments: int) -> list[tuple[int, int]]:
     return list(zip(edge, edge[1:]))
 
 
+def _ring(segments: int) -> tuple[int, int, list[tuple[int, int]]]:
+    """Bits of the widest key, bits of the ring that fit behind it, and (bits, most differences) to test there."""
+    cuts = _cuts(segments)
+    wide = max(hi - lo for lo, hi in cuts) - 1
+    room = max(0, 64 - _PLACE - wide)
+    tests, radius = [], 2 * segments - 1
+    for several in range(1, segments):
+        # the bits of the next ``several`` segments, wherever on the ring one begins
+        ends = [sum(cuts[(s + i) % segments][1] - cuts[(s + i) % segments][0] for i in range(1, several + 1)) for s in range(segments)]
+        most = (several + 1) * radius // segments
+        # at the shortest of them, so that the test is right for every segment
+        tests.append((min(min(ends), room), most))
+        if min(ends) >= room:
+            break
+    return wide, room, tests if room else []
+
+
 def _variant_keys(sig: np.ndarray, segments: int) -> np.ndarray:
-    """All one-deletion variants: row r, column b is the key of signature r's segment around bit b without that bit."""
+    """All one-deletion variants: row r, column b is the key of signature r's segment around bit b without that bit.
+
+    From the top: the place b, the other bits of the segment, and as many of the bits after the segment as there is room for.
+    """
     bits = np.unpackbits(np.ascontiguousarray(sig).view(np.uint8), axis=1)
+    wide, room, _ = _ring(segments)
     keys = np.empty((len(sig), BITS), _U)
-    for s, (lo, hi) in enumerate(_cuts(segments)):
-        value = np.zeros(len(sig), _U)
+    for lo, hi in _cuts(segments):
+        value, after = np.zeros(len(sig), _U), np.zeros(len(sig), _U)
         for b in range(lo, hi):
             value = (value << _U(1)) | bits[:, b]
+        for b in range(hi, hi + room):
+            after = (after << _U(1)) | bits[:, b % BITS]
         for b in range(lo, hi):
             place = hi - 1 - b
             # bits above the deleted one move down by one place
             gone = ((value >> _U(place + 1)) << _U(place)) | (value & _U((1 << place) - 1))
-            keys[:, b] = (_U(s * BITS + b) << _U(48)) | gone
+            keys[:, b] = (((_U(b) << _U(wide)) | gone) << _U(room)) | after
     return keys
 
 
-def _runs_to_pairs(key: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (a < b) of different ``who`` that share a key, each once."""
-    order = np.lexsort((who, key))
-    k, w = key[order], who[order]
+def _runs_to_pairs(key: np.ndarray, who: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (a < b) of different ``who`` that share a key and don't differ too much in the ring after it, each once."""
+    _, room, tests = _ring(segments)
+    order = np.argsort(key)
+    after, w = key[order], who[order]
+    k = after >> _U(room)
+    after &= _U((1 << room) - 1)
     edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
-    size = np.diff(edge)
+    edge, size = edge[:-1], np.diff(edge)
     out = []
     for step in range(1, int(size.max()) if len(size) else 0):
         # each row with the row ``step`` places further on in the same run
-        left = np.repeat(edge[:-1][size > step], size[size > step] - step)
-        n = size[size > step] - step
-        left = left + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
-        out.append(np.stack([w[left], w[left + step]], 1))
+        edge, size = edge[size > step], size[size > step]
+        n = size - step
+        ends = np.cumsum(n)
+        for a in range(0, int(ends[-1]), 1 << 22):
+            x = np.arange(a, min(a + (1 << 22), int(ends[-1])))
+            run = np.searchsorted(ends, x, "right")
+            left = edge[run] + x - (ends[run] - n[run])
+            differ = after[left] ^ after[left + step]
+            fine = w[left] != w[left + step]
+            for bits, most in tests:
+                fine &= np.bitwise_count(differ >> _U(room - bits)) <= most
+            left = left[fine]
+            out.append(np.sort(np.stack([w[left], w[left + step]], 1), axis=1))
         if sum(map(len, out)) > 1 << 21:
             out = [np.unique(np.concatenate(out), axis=0)]
     both = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-    both = both[both[:, 0] != both[:, 1]]
     return both[:, 0], both[:, 1]
 
 
-def near_pairs(groups: DataFrame, segments: int = SEGMENTS, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """(a, b, distance) with a < b for distinct signatures (rep, s0..s3) that meet in a variant and verify.
+def near_pairs(groups: DataFrame, segments: int = SEGMENTS) -> DataFrame:
+    """(a, b, distance) with a < b: the pairs of distinct signatures (rep, s0..s3) within 2 * segments - 1, every one of them.
 
-    Every pair within distance 2 * segments - 1 is found; pairs up to ``max_distance`` with the recall measured above.
     There is no cap on the size of a bucket.
     """
     if segments < 1 or BITS // segments > 48:
         raise ValueError("a segment must have 1 to 48 bits")
+    _, room, _ = _ring(segments)
 
     def expand(batches):
         for b in batches:
@@ -165,16 +180,17 @@ def near_pairs(groups: DataFrame, segments: int = SEGMENTS, max_distance: int =
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(rep)], ["key", "rep"])
 
     def meet(batches):
-        got = [(b.column("key").to_numpy(), b.column("rep").to_numpy()) for b in batches]
+        got = [(b.column("key").to_numpy().view(_U), b.column("rep").to_numpy()) for b in batches]
         if got:
-            a, b = _runs_to_pairs(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
+            a, b = _runs_to_pairs(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]), segments)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    met = groups.select("rep", *_SIG).mapInArrow(expand, "key long, rep long").repartition("key").mapInArrow(meet, "a long, b long").distinct()
+    variants = groups.select("rep", *_SIG).mapInArrow(expand, "key long, rep long")
+    met = variants.repartition(F.shiftrightunsigned("key", room)).mapInArrow(meet, "a long, b long").distinct()
     left = groups.select(F.col("rep").alias("a"), *(F.col(c).alias(f"l{c}") for c in _SIG))
     right = groups.select(F.col("rep").alias("b"), *(F.col(c).alias(f"r{c}") for c in _SIG))
     distance = sum((F.bit_count(F.col(f"l{c}").bitwiseXOR(F.col(f"r{c}"))) for c in _SIG), F.lit(0))
-    return met.join(left, "a").join(right, "b").select("a", "b", distance.cast("int").alias("distance")).where(F.col("distance") <= max_distance)
+    return met.join(left, "a").join(right, "b").select("a", "b", distance.cast("int").alias("distance")).where(F.col("distance") < 2 * segments)
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -196,17 +212,18 @@ def components(pairs: DataFrame) -> DataFrame:
             return labels
 
 
-def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segments: int = SEGMENTS, max_distance: int = MAX_DISTANCE) -> DataFrame:
+def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segments: int = SEGMENTS) -> DataFrame:
     """(doc_id, kept_id): every document that repeats another one, with the document of its group that stays.
 
     Groups are the connected components of verified pairs; the smallest doc_id stays. Null ids and documents without
     any word (null, empty, only punctuation) take part in no group. Rows that share a doc_id are one document to this
-    operator: it is a copy if any of its rows is. An empty table gives an empty result.
+    operator: it is a copy if any of its rows is. Texts count whole, however long. Extra columns are left out; an empty
+    table gives an empty result.
     """
     sig = store.written(signatures(docs, id_col, text_col).select("doc_id", *_SIG), "signatures")
     groups = _groups(sig, F.min("doc_id").alias("first"))
     first = groups.select("rep", "first")
-    near = near_pairs(groups, segments, max_distance).join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").where("x <> y")
+    near = near_pairs(groups, segments).join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").where("x <> y")
     # one id may carry several signatures (repeated ids): its groups are then one
     same = sig.join(groups, _SIG).where("doc_id <> first").select("first", "doc_id").distinct()
     return components(near.select(F.col("x").alias("a"), F.col("y").alias("b")).union(same)).where("id <> root").select(F.col("id").alias("doc_id"), F.col("root").alias("kept_id"))
@@ -217,7 +234,7 @@ def _groups(sig: DataFrame, *what: Column) -> DataFrame:
     return store.written(sig.groupBy(*_SIG).agg(*what).withColumn("rep", F.monotonically_increasing_id()), "groups")
 
 
-def drop_near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segments: int = SEGMENTS, max_distance: int = MAX_DISTANCE) -> DataFrame:
+def drop_near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segments: int = SEGMENTS) -> DataFrame:
     """``docs`` with one row for each group of near-duplicate texts, all columns as they were.
 
     Rows are judged by their own text: those that share a doc_id but not a text are as different as any others, and a null
@@ -229,29 +246,26 @@ def drop_near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col:
     sig = store.written(signatures(docs, id_col, text_col, null_ids=True), "signatures")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")
     groups = _groups(sig, F.min(row).alias("first"), F.max(row).alias("last"))
-    roots = components(near_pairs(groups, segments, max_distance).select("a", "b"))
+    roots = components(near_pairs(groups, segments).select("a", "b"))
     linked = groups.join(roots, groups["rep"] == roots["id"], "left").where("id is not null or first <> last").withColumn("root", F.coalesce("root", "rep"))
     stays = linked.groupBy("root").agg(F.min("first").alias("stays"))
     rows = sig.join(linked.select(*_SIG, "root"), _SIG).join(stays, "root").where(row != F.col("stays")).select(F.col("doc_id").alias("__gone"), F.col("tid").alias("__gone_tid")).distinct()
-    tid, rank, words = (store.fresh(docs, x) for x in ("tid", "rank", "words"))
+    rows = store.small(store.written(rows, "gone"))
+    tid, rank, key_id, key_tid = (store.fresh(docs, x) for x in ("tid", "rank", "key", "key_tid"))
     marked = docs.withColumn(tid, store.text_key(docs[text_col].cast("string")))
     kept = marked.join(rows, marked[id_col].cast("long").eqNullSafe(rows["__gone"]) & (marked[tid] == rows["__gone_tid"]), "left_anti")
-    some = sig.where("doc_id is null").select(F.col("tid").alias(words)).distinct()
-    kept = kept.join(some, (kept[tid] == some[words]) & kept[id_col].isNull(), "left")
-    again = F.row_number().over(W.partitionBy(F.col(id_col).cast("long"), tid, F.when(F.col(id_col).isNull() & F.col(words).isNull(), F.monotonically_increasing_id())).orderBy(tid))
-    return kept.withColumn(rank, again).where(F.col(rank) == 1).drop(tid, rank, words)
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with one row for each group of near-duplicates, all columns as they were.
-
-    Rows with a null id stay. Of rows that share a doc_id the one with the smallest text stays; where their texts are to be
-    judged one by one, see ``drop_near_duplicate_rows``.
-    """
-    from pyspark.sql import Window as W
-
-    gone = duplicates(docs, id_col, text_col, **how).select(F.col("doc_id").alias("__gone"))
-    rank = store.fresh(docs, "rank")
-    kept = docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
-    first = F.row_number().over(W.partitionBy(F.col(id_col).cast("long")).orderBy(F.col(text_col).asc_nulls_last()))
-    return kept.withColumn(rank, first).where((F.col(rank) == 1) | F.col(id_col).isNull()).drop(rank)
+    # of rows equal in id and text one stays; only those are brought together
+    own = kept.select(F.col(id_col).cast("long").alias(key_id), F.col(tid).alias(key_tid))
+    twice = own.groupBy(key_id, key_tid).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    # without an id, only rows with words
+    some = sig.where("doc_id is null").select(F.col("tid").alias(key_tid)).distinct()
+    twice = twice.where(F.col(key_id).isNotNull()).unionByName(twice.where(F.col(key_id).isNull()).join(some, key_tid, "left_semi"))
+    twice = store.small(store.written(twice, "twice"))
+    same = kept[id_col].cast("long").eqNullSafe(twice[key_id]) & (kept[tid] == twice[key_tid])
+    once = kept.join(twice, same, "left_anti")
+    first = F.row_number().over(W.partitionBy(F.col(id_col).cast("long"), tid).orderBy(tid))
+    one = kept.join(twice, same, "left_semi").withColumn(rank, first).where(F.col(rank) == 1).drop(rank)
+    return once.unionByName(one).drop(tid)
+
+
+drop_near_duplicates = drop_near_duplicate_rows
