@@ -20,7 +20,7 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm import katz
 
-    return katz.score(_table(spark, sf_dir, "documents"), min_count=1)
+    return katz.score(_table(spark, sf_dir, "documents"))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,8 @@ def op5_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm import vafile
 
-    return vafile.top_k(_table(spark, sf_dir, "embeddings"), k=10)
+    vectors = _table(spark, sf_dir, "embeddings")
+    return vafile.top_k(vectors, k=10, queries=vectors.where("vec_id % 100 = 0"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

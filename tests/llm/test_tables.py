@@ -18,19 +18,35 @@ def test_prefix_targets(spark):
     assert chat.prefix_targets(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("bits", [2, 5])
-def test_vector_file_is_exact(spark, bits):
+@pytest.mark.parametrize("bits, most", [(2, 500_000), (5, 0)])
+def test_vector_file_is_exact(spark, monkeypatch, bits, most):
     r = np.random.default_rng(1)
     x = r.normal(size=(150, 8)).astype(np.float32)
     x[100:110] = x[0]  # ties
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(None, x[0].tolist(), 0), (500, None, 0), (501, [1.0], 0), (502, [float("nan")] * 8, 0), (503, [None] * 8, 0), (7, x[7].tolist(), 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, block int")
-    got = vafile.top_k(df, 5, bits=bits, queries=40, block=60).toPandas().sort_values(["vec_id", "rank"])
+    monkeypatch.setattr(vafile.candidates, "__defaults__", (bits, 40, 60))
+    monkeypatch.setattr(vafile, "MAX_BROADCAST", most)
+    got = vafile.top_k(df, 5, bits=bits).toPandas().sort_values(["vec_id", "rank"])
     d = np.sqrt(((x[:, None].astype(float) - x[None]) ** 2).sum(-1))
     np.fill_diagonal(d, np.inf)
     order = np.lexsort((np.broadcast_to(np.arange(150), d.shape), d), axis=1)[:, :5]
     assert (got.neighbor_id.to_numpy().reshape(-1, 5) == order).all()
     assert np.allclose(got.distance.to_numpy().reshape(-1, 5), np.take_along_axis(d, order, 1), atol=1e-5)
+    few = vafile.top_k(df, 5, queries=df.where("vec_id % 10 = 0"), bits=bits).toPandas().sort_values(["vec_id", "rank"])
+    assert (few.neighbor_id.to_numpy().reshape(-1, 5) == order[::10]).all()
+
+
+@pytest.mark.parametrize("size", [1e20, 1e-30, 3e38])
+def test_vector_file_of_any_magnitude(spark, size):
+    r = np.random.default_rng(2)
+    x = (r.uniform(-1, 1, (90, 6)) * size).astype(np.float32)
+    x[::9] /= np.float32(1e6)  # some of them all but equal beside the others
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = vafile.top_k(df, 4).toPandas().sort_values(["vec_id", "rank"])
+    d = np.sqrt(((x[:, None].astype(float) - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    assert (got.neighbor_id.to_numpy().reshape(-1, 4) == np.argsort(d, axis=1, kind="stable")[:, :4]).all()
 
 
 def test_vector_file_odd_tables(spark):
