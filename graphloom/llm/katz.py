@@ -1,35 +1,45 @@
 """Katz backoff scoring with a word bigram model counted on the whole corpus.
 
-Documents are hashed into twice as many chunks as there are shuffle partitions. A chunk sends its distinct n-grams to the shards
-that own them, packed into one binary row for each shard, so the shuffle moves blobs and not words. A shard adds the counts
-up, answers each chunk with the counts it asked about, and writes its part of the model. Backoff weights come from a join
-of bigrams and unigrams; a chunk's words are answered likewise, and the chunk's tokens are scored recursively:
+The documents are packed into chunks of about ``CHUNK`` characters. A chunk sends its distinct n-grams to the shards that own
+them, packed into one binary row for each shard, so the shuffle moves blobs and not words. There is a shard for each
+``SHARD`` characters, so none grows with the corpus. A shard adds the counts up, answers each chunk with the counts it asked about,
+and writes its part of the model as rows of arrays. Backoff weights come from the shards of bigrams, which ask the shards
+of words for the probabilities of the words they have. A chunk's tokens are scored recursively:
 
     p(w | h) = d(c(h w)) * c(h w) / c(h)    if the bigram is in the model
     p(w | h) = alpha(h) * p(w)              else
     p(w)     = d(c(w)) * c(w) / N           for words of the corpus
 
 d are Good-Turing discounts (Katz's, for counts up to ``K``), alpha(h) makes the probabilities after h sum to 1 exactly, and
-what the discounts leave of the unigrams is the share of unknown words. Bigrams seen fewer than ``min_count`` times are left
-out of the model and backed off from: with 2 (the default) those seen once, as Katz proposed; with 1, as the query has it,
-none. A document begins with a start sign.
+what the discounts leave of the unigrams is the share of unknown words. Tokens that back off are few, or none where the scored
+documents are those counted: they become rows that are joined with the tables of weights and words. Bigrams seen fewer than
+``min_count`` times are left out of the model and backed off from; by default none is. A document begins with a start sign.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import store, textcore
 
 K = 5
-MIN_COUNT = 2
+MIN_COUNT = 1
+#: Characters in a chunk, which one Python worker holds at once; and in the part of the corpus that one shard answers for.
+CHUNK = 1 << 23
+SHARD = 1 << 23
+#: N-grams in a row of the model's tables.
+ROW = 1 << 16
 START = np.uint64(0x5747_5254_5353_4F42)
-_SCHEMA = "kind string, shard int, chunk int, h long, w long, n long, m long, a binary, b binary, c binary"
+_SCHEMA = "kind string, shard int, chunk long, n long, m long, a binary, b binary, c binary, hs array<long>, ws array<long>, ns array<long>"
+_TYPES = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), *[pa.list_(pa.int64())] * 3]
+_NAMES = ["kind", "shard", "chunk", "n", "m", "a", "b", "c", "hs", "ws", "ns"]
 _EMPTY = np.zeros(0, np.uint64)
 
 
@@ -62,10 +72,6 @@ def _tokens(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(ws), np.concatenate(hs), np.concatenate(docs)
 
 
-def _shards(docs: DataFrame) -> int:
-    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _shard(key: np.ndarray, shards: int) -> np.ndarray:
     return ((key >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
 
@@ -105,37 +111,46 @@ def _histories(b: bytes) -> np.ndarray:
     return np.repeat(np.frombuffer(b, np.uint64, n, 8), np.frombuffer(b, np.int32, n, 8 + 8 * n))
 
 
-def _pack(docs: DataFrame, shards: int) -> DataFrame:
-    """(chunk, docs): the rows (doc_id, text), those of one batch and chunk compressed together.
+def _packed_counts(n: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest of them takes."""
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.int64) if not len(n) or n.max() <= np.iinfo(t).max)
+    return np.dtype(kind).itemsize.to_bytes(1, "little") + n.astype(kind).tobytes()
+
+
+def _counts(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[b[0]], offset=1).astype(np.int64)
 
-    A Python worker holds a whole chunk at once, so there are two for each shuffle partition.
+
+def _pack(docs: DataFrame) -> DataFrame:
+    """(chunk, chars, docs): rows (doc_id, text) as they come, so many of them that they have ``CHUNK`` characters, compressed.
+
+    A text that is longer than that is a chunk by itself.
     """
 
     def run(batches):
+        part, several, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+
+        def row():
+            raw = pickle.dumps((ids, texts))
+            blob = len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+            return pa.RecordBatch.from_arrays([pa.array([part << 20 | several], pa.int64()), pa.array([size], pa.int64()), pa.array([blob], pa.binary())], ["chunk", "chars", "docs"])
+
         for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            chunk = b.column("chunk").to_numpy()
-            order = np.argsort(chunk, kind="stable")
-            kinds, blobs = [], []
-            for k, lo, hi in _runs(chunk[order]):
-                own = order[lo:hi].tolist()
-                raw = pickle.dumps(([ids[i] for i in own], [texts[i] for i in own]))
-                kinds.append(k)
-                blobs.append(len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True))
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "docs"])
-
-    chunk = F.pmod(F.xxhash64(F.lit(11), "doc_id", store.text_key(F.col("text"))), F.lit(2 * shards)).cast("int")
-    return docs.select("doc_id", "text", chunk.alias("chunk")).mapInArrow(run, "chunk int, docs binary")
-
-
-def _unpack(column: pa.ChunkedArray) -> tuple[list, list]:
-    ids, texts = [], []
-    for x in column:
-        b = x.as_buffer()
-        got = pickle.loads(pa.decompress(b[8:], int.from_bytes(b[:8].to_pybytes(), "little"), "zstd"))
-        ids += got[0]
-        texts += got[1]
-    return ids, texts
+            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                ids.append(i)
+                texts.append(t)
+                size += len(t or "") + 1
+                if size >= CHUNK:
+                    yield row()
+                    several, ids, texts, size = several + 1, [], [], 0
+        if ids:
+            yield row()
+
+    return docs.select("doc_id", "text").mapInArrow(run, "chunk long, chars long, docs binary")
+
+
+def _unpack(b: pa.Buffer) -> tuple[list, list]:
+    return pickle.loads(pa.decompress(b[8:], int.from_bytes(b[:8].to_pybytes(), "little"), "zstd"))
 
 
 def _unigrams(w: np.ndarray, h: np.ndarray, shards: int):
@@ -153,166 +168,236 @@ def _runs(shard: np.ndarray):
     return zip(shard[edge[:-1]].tolist(), edge[:-1].tolist(), edge[1:].tolist())
 
 
-def _rows(rows: list[tuple]) -> pa.Table:
-    names = ["kind", "shard", "chunk", "h", "w", "n", "m", "a", "b", "c"]
-    types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    columns = list(zip(*rows)) if rows else [[]] * len(names)
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+def _row(kind: str, shard: int, **what) -> tuple:
+    return (kind, shard, *(what.get(x) for x in _NAMES[2:]))
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[]] * len(_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], _NAMES)
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([_rows(rows)])
 
 
-def _count_chunks(docs: DataFrame, shards: int) -> DataFrame:
+def _count_chunks(chunks: DataFrame, shards: int) -> DataFrame:
     """One row by chunk and shard with the chunk's bigrams, and one with its words."""
 
-    def ask(t: pa.Table) -> pa.Table:
-        chunk = t.column("chunk")[0].as_py()
-        w, h, _ = _tokens(_unpack(t.column("docs"))[1])
-        out = []
-        s, hs, ws, n, _ = _bigrams(w, h, shards)
-        for k, lo, hi in _runs(s):
-            out.append(("bigrams", k, chunk, None, None, None, None, _packed_histories(hs[lo:hi]), ws[lo:hi].tobytes(), n[lo:hi].astype(np.int32).tobytes()))
-        s, ws, n, m = _unigrams(w, h, shards)
-        for k, lo, hi in _runs(s):
-            out.append(("words", k, chunk, None, None, None, None, ws[lo:hi].tobytes(), n[lo:hi].astype(np.int32).tobytes(), m[lo:hi].astype(np.int32).tobytes()))
-        return _rows(out)
+    def ask(batches):
+        for batch in batches:
+            for chunk, docs in zip(batch.column("chunk").to_pylist(), batch.column("docs")):
+                w, h, _ = _tokens(_unpack(docs.as_buffer())[1])
+                s, hs, ws, n, _ = _bigrams(w, h, shards)
+                yield _rows([_row("bigrams", k, chunk=chunk, a=_packed_histories(hs[lo:hi]), b=ws[lo:hi].tobytes(), c=_packed_counts(n[lo:hi])) for k, lo, hi in _runs(s)])
+                s, ws, n, m = _unigrams(w, h, shards)
+                yield _rows([_row("words", k, chunk=chunk, a=ws[lo:hi].tobytes(), b=_packed_counts(n[lo:hi]), c=_packed_counts(m[lo:hi])) for k, lo, hi in _runs(s)])
 
-    return docs.groupBy("chunk").applyInArrow(ask, _SCHEMA)
+    return chunks.select("chunk", "docs").mapInArrow(ask, _SCHEMA)
 
 
-def _add_up(asked: DataFrame, min_count: int) -> DataFrame:
-    """By shard: the model's rows (bigram, word), answers to chunks about bigrams, words asked for, and counts of counts."""
+def _counts_of_counts(kind: str, shard: int, n: np.ndarray) -> list[tuple]:
+    r = np.bincount(np.minimum(n, K + 2))
+    return [_row(kind, shard, n=int(r[i]), m=i) for i in range(1, min(len(r), K + 2))]
+
+
+def _pieces(kind: str, shard: int, hs: np.ndarray | None, ws: np.ndarray, ns: np.ndarray) -> list[tuple]:
+    """Rows of a table of the model."""
+    at = range(0, len(ws), ROW)
+    return [_row(kind, shard, hs=None if hs is None else hs[i : i + ROW].view(np.int64), ws=ws[i : i + ROW].view(np.int64), ns=ns[i : i + ROW]) for i in at]
+
+
+def _add_up(asked: DataFrame, shards: int, min_count: int) -> DataFrame:
+    """By shard: the model's rows (bigram, word), answers to chunks, words asked for by shards of bigrams, and counts of counts."""
 
     def add(t: pa.Table) -> pa.Table:
         kind, chunk, shard = t.column("kind").to_pylist(), t.column("chunk").to_pylist(), t.column("shard")[0].as_py()
         a, b, c = (t.column(x).to_pylist() for x in "abc")
-        flat = []
+        rows = []
         own = [i for i, x in enumerate(kind) if x == "bigrams"]
         if own:
             h, w = np.concatenate([_histories(a[i]) for i in own]), np.concatenate([np.frombuffer(b[i], np.uint64) for i in own])
-            n = np.concatenate([np.frombuffer(c[i], np.int32) for i in own])
+            n = np.concatenate([_counts(c[i]) for i in own])
             _, first, back = np.unique(_key(h, w), return_index=True, return_inverse=True)
-            total = np.bincount(back, n).astype(np.int64)
-            answer, at = total[back], 0
-            rows = []
+            total = np.zeros(len(first), np.int64)
+            np.add.at(total, back, n)
+            at = 0
             for i in own:
                 size = len(b[i]) // 8
-                rows.append(("answer", shard, chunk[i], None, None, None, None, np.minimum(answer[at : at + size], 1 << 31).astype(np.uint32).tobytes(), None, None))
+                rows.append(_row("answer", shard, chunk=chunk[i], a=_packed_counts(total[back[at : at + size]])))
                 at += size
-            some = total >= min_count
-            flat.append(("bigram", h[first][some].view(np.int64), w[first][some].view(np.int64), total[some], np.zeros(int(some.sum()), np.int64)))
-            r = np.bincount(np.minimum(total, K + 2))
-            rows += [("count2", shard, None, None, None, int(r[i]), i, None, None, None) for i in range(1, min(len(r), K + 2))]
-        else:
-            rows = []
+            rows += _counts_of_counts("count2", shard, total)
+            first, total = first[total >= min_count], total[total >= min_count]
+            h, w = h[first], w[first]
+            order = np.lexsort((w, h))
+            h, w, total = h[order], w[order], total[order]
+            rows += _pieces("bigram", shard, h, w, total)
+            uniq = np.unique(w)
+            s = _shard(uniq, shards)
+            order = np.argsort(s, kind="stable")
+            # the shard that asks goes by the name of chunk
+            rows += [_row("want", k, chunk=shard, a=uniq[order[lo:hi]].tobytes()) for k, lo, hi in _runs(s[order])]
         own = [i for i, x in enumerate(kind) if x == "words"]
         if own:
             w = np.concatenate([np.frombuffer(a[i], np.uint64) for i in own])
             uniq, back = np.unique(w, return_inverse=True)
-            n, m = (np.bincount(back, np.concatenate([np.frombuffer(x[i], np.int32) for i in own])).astype(np.int64) for x in (b, c))
-            flat.append(("word", np.zeros(len(uniq), np.int64), uniq.view(np.int64), n, m))
-            rows += [("asks", shard, chunk[i], None, None, None, None, a[i], None, None) for i in own]
-            r = np.bincount(np.minimum(n, K + 2))
-            rows += [("count1", shard, None, None, None, int(r[i]), i, None, None, None) for i in range(1, min(len(r), K + 2))]
-            rows.append(("total", shard, None, None, None, int(n.sum()), 0, None, None, None))
-        tables = [_rows(rows)]
-        for name, h, w, n, m in flat:
-            size = len(w)
-            none = pa.nulls(size, pa.binary())
-            tables.append(pa.Table.from_arrays([pa.array([name] * size, pa.string()), pa.array(np.full(size, shard, np.int32)), pa.nulls(size, pa.int32()), pa.array(h), pa.array(w), pa.array(n), pa.array(m), none, none, none], tables[0].column_names))
-        return pa.concat_tables(tables)
+            n, m = np.zeros((2, len(uniq)), np.int64)
+            np.add.at(n, back, np.concatenate([_counts(b[i]) for i in own]))
+            np.add.at(m, back, np.concatenate([_counts(c[i]) for i in own]))
+            at = 0
+            for i in own:
+                size = len(a[i]) // 8
+                rows.append(_row("history", shard, chunk=chunk[i], a=_packed_counts(m[back[at : at + size]])))
+                at += size
+            rows += _pieces("word", shard, m, uniq, n)
+            rows += _counts_of_counts("count1", shard, n)
+            rows.append(_row("total", shard, n=int(n.sum()), m=0))
+        return _table(rows)
 
     return asked.groupBy("shard").applyInArrow(add, _SCHEMA)
 
 
 class Model:
-    """Tables of the shared folder: words (w, n, m, shard) and bigrams (h, w, n); discounts; the number of tokens."""
+    """Tables of the shared folder: words (w, n, m, p), histories (h, alpha) and bigrams (h, w, n, p); and discounts.
 
-    def __init__(self, counted: DataFrame, min_count: int):
+    ``n`` counts occurrences, ``m`` those as a history. All tables are written by shard, so that each is read in parts.
+    """
+
+    def __init__(self, counted: DataFrame, shards: int, min_count: int):
+        self.counted, self.shards, self.min_count = counted, shards, min_count
         few = counted.where(F.col("kind").isin("count1", "count2", "total")).groupBy("kind", "m").agg(F.sum("n").alias("n")).collect()
         n_r = {k: {r["m"]: r["n"] for r in few if r["kind"] == k} for k in ("count1", "count2")}
         self.total = sum(r["n"] for r in few if r["kind"] == "total")
         self.d1, self.d2 = discounts(n_r["count1"]), discounts(n_r["count2"], least=min_count)
-        words = counted.where("kind = 'word'").select("w", "n", "m", "shard")
-        bigrams = counted.where("kind = 'bigram'").select("h", "w", "n")
-        self.words = words.withColumn("p", self._discounted(F.col("n"), self.d1) / F.lit(float(max(self.total, 1))))
-        # backoff weights: what the kept bigrams of a history leave, shared out over the words that don't follow it there
-        kept = bigrams.join(self.words.select("w", "p"), "w").groupBy("h").agg(F.sum(self._discounted(F.col("n"), self.d2)).alias("mass"), F.sum("p").alias("lower"))
-        left = 1 - F.coalesce(F.col("mass") / F.col("m"), F.lit(0.0))
-        rest = 1 - F.coalesce("lower", F.lit(0.0))
-        alpha = F.when(F.col("m") > 0, F.when(rest > 1e-12, left / rest).otherwise(0.0)).otherwise(1.0)
-        self.words = store.written(self.words.join(kept.withColumnRenamed("h", "w"), "w", "left").select("w", "n", "m", "p", alpha.alias("alpha"), "shard"), "words")
-        self.bigrams = bigrams.withColumn("discounted", self._discounted(F.col("n"), self.d2))
+        each = counted.where("kind = 'word'").select(F.explode(F.arrays_zip("hs", "ws", "ns")).alias("x"))
+        self.words = each.select(F.col("x.ws").alias("w"), F.col("x.ns").alias("n"), F.col("x.hs").alias("m"), (self._discounted(F.col("x.ns"), self.d1) / F.lit(float(max(self.total, 1)))).alias("p"))
+        self.histories = store.written(self._weights(), "histories")
+        #: The probability of a word that the corpus doesn't have.
+        self.unknown = max(0.0, 1 - (sum(self.d1[r] * r * n for r, n in n_r["count1"].items() if r <= K) + self._above(n_r["count1"])) / max(self.total, 1))
+
+    def _above(self, n_r: dict[int, int]) -> int:
+        """How many tokens are of words seen more than ``K`` times."""
+        return self.total - sum(r * n for r, n in n_r.items() if r <= K)
 
     @staticmethod
-    def _discounted(n, d: np.ndarray):
+    def _discounted(n: Column, d: np.ndarray) -> Column:
         return F.get(F.array(*(F.lit(float(x)) for x in d), F.lit(1.0)), F.least(n, F.lit(len(d))).cast("int")) * n
 
-
-def train(docs: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFrame, Model]:
-    """What the shards wrote (with their answers to chunks), partitioned by kind of row, and the model on top of it."""
-    shards = _shards(docs)
-    counted = store.written(_add_up(_count_chunks(_pack(docs, shards), shards), min_count), "katz", by="kind")
-    return counted, Model(counted, min_count)
+    def _weights(self) -> DataFrame:
+        """(h, alpha): what the bigrams of a history leave, shared out over the words that don't follow it there."""
+        shards, d1, d2, total = self.shards, np.append(self.d1, 1.0), np.append(self.d2, 1.0), max(self.total, 1)
+
+        def answer(wants: pa.Table, words: pa.Table) -> pa.Table:
+            if not wants.num_rows:
+                return _table([])
+            w = np.concatenate([np.asarray(x.values) for x in words.column("ws")]).view(np.uint64)
+            n = np.concatenate([np.asarray(x.values) for x in words.column("ns")])
+            order = np.argsort(w)
+            p = (d1[np.minimum(n, len(d1) - 1)] * n / total)[order]
+            w = w[order]
+            shard = wants.column("shard")[0].as_py()
+            return _table([_row("p", asks, chunk=shard, a=p[np.searchsorted(w, np.frombuffer(blob, np.uint64))].tobytes()) for asks, blob in zip(wants.column("chunk").to_pylist(), wants.column("a").to_pylist())])
+
+        def add(bigrams: pa.Table, got: pa.Table) -> pa.Table:
+            if not bigrams.num_rows:
+                return pa.table({"hs": pa.array([], pa.list_(pa.int64())), "mass": pa.array([], pa.list_(pa.float64())), "lower": pa.array([], pa.list_(pa.float64()))})
+            h, w, n = (np.concatenate([np.asarray(x.values) for x in bigrams.column(c)]) for c in ("hs", "ws", "ns"))
+            h, w = h.view(np.uint64), w.view(np.uint64)
+            uniq = np.unique(w)
+            order = np.argsort(_shard(uniq, shards), kind="stable")
+            p = np.empty(len(uniq))
+            p[order] = np.concatenate([np.frombuffer(x, np.float64) for _, x in sorted(zip(got.column("chunk").to_pylist(), got.column("a").to_pylist()))])
+            hs, back = np.unique(h, return_inverse=True)
+            mass = np.bincount(back, d2[np.minimum(n, len(d2) - 1)] * n)
+            lower = np.bincount(back, p[np.searchsorted(uniq, w)])
+            at = range(0, len(hs), ROW)
+            return pa.table({"hs": pa.array([hs[i : i + ROW].view(np.int64) for i in at], pa.list_(pa.int64())), "mass": pa.array([mass[i : i + ROW] for i in at], pa.list_(pa.float64())), "lower": pa.array([lower[i : i + ROW] for i in at], pa.list_(pa.float64()))})
+
+        wants = self.counted.where("kind = 'want'").select("shard", "chunk", "a")
+        words = self.counted.where("kind = 'word'").select("shard", "ws", "ns")
+        got = wants.groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(answer, _SCHEMA).select("shard", "chunk", "a")
+        bigrams = self.counted.where("kind = 'bigram'").select("shard", "hs", "ws", "ns")
+        parts = bigrams.groupBy("shard").cogroup(got.groupBy("shard")).applyInArrow(add, "hs array<long>, mass array<double>, lower array<double>")
+        each = parts.select(F.explode(F.arrays_zip("hs", "mass", "lower")).alias("x"))
+        # a history may be split over shards
+        sums = each.groupBy(F.col("x.hs").alias("h")).agg(F.sum("x.mass").alias("mass"), F.sum("x.lower").alias("lower"))
+        m = self.words.where("m > 0").select(F.col("w").alias("h"), "m")
+        left, rest = 1 - F.coalesce(F.col("mass") / F.col("m"), F.lit(0.0)), 1 - F.coalesce("lower", F.lit(0.0))
+        return m.join(sums, "h", "left").select("h", F.when(rest > 1e-12, F.greatest(left, F.lit(0.0)) / rest).otherwise(0.0).alias("alpha"))
+
+    @property
+    def bigrams(self) -> DataFrame:
+        each = self.counted.where("kind = 'bigram'").select(F.explode(F.arrays_zip("hs", "ws", "ns")).alias("x"))
+        found = each.select(F.col("x.hs").alias("h"), F.col("x.ws").alias("w"), F.col("x.ns").alias("n"))
+        return found.join(self.words.select(F.col("w").alias("h"), "m"), "h").select("h", "w", "n", (self._discounted(F.col("n"), self.d2) / F.col("m")).alias("p"))
+
+
+def _shards_of(chunks: DataFrame) -> int:
+    return max(1, math.ceil((chunks.agg(F.sum("chars").alias("n")).collect()[0]["n"] or 0) / SHARD))
+
+
+def train(chunks: DataFrame, min_count: int = MIN_COUNT) -> Model:
+    """The model of all documents of the chunks, with the shards' answers to them."""
+    shards = _shards_of(chunks)
+    return Model(store.written(_add_up(_count_chunks(chunks, shards), shards, min_count), "katz", by="kind"), shards, min_count)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT) -> DataFrame:
     """(doc_id, n_tokens, log_prob, perplexity): one row for every row, scored by the model of all rows.
 
-    ``log_prob`` is the natural logarithm of the whole text's probability. Texts without words (null, empty) have 0 tokens,
-    log_prob 0 and a null perplexity. Repeated rows count as often as they occur; ids may be null or repeated.
+    ``log_prob`` is the natural logarithm of the whole text's probability, however long it is. Texts without words (null, empty)
+    have 0 tokens, log_prob 0 and a null perplexity. Repeated rows count as often as they occur; ids may be null or
+    repeated. Extra columns are left out; an empty table gives an empty result. A probability of 0 counts as 1e-300.
     """
-    shards = _shards(docs)
-    t = store.id_text(docs, id_col, text_col)
-    counted, model = train(t, min_count)
-    d2 = model.d2
-
-    def answer(asks: pa.Table, words: pa.Table) -> pa.Table:
-        w = words.column("w").to_numpy().view(np.uint64)
-        order = np.argsort(w)
-        w, (m, p, alpha) = w[order], (words.column(x).to_numpy().astype(np.float64)[order] for x in ("m", "p", "alpha"))
-        rows = []
-        for chunk, blob in zip(asks.column("chunk").to_pylist(), asks.column("a").to_pylist()):
-            at = np.searchsorted(w, np.frombuffer(blob, np.uint64))
-            rows.append(("words", asks.column("shard")[0].as_py(), chunk, None, None, None, None, m[at].astype(np.int64).tobytes(), np.log(np.maximum(p[at], 1e-300)).astype(np.float32).tobytes(), np.log(np.maximum(alpha[at], 1e-300)).astype(np.float32).tobytes()))
-        return _rows(rows)
-
-    about_words = counted.where("kind = 'asks'").select("shard", "chunk", "a").groupBy("shard").cogroup(model.words.groupBy("shard")).applyInArrow(answer, _SCHEMA)
-    answers = counted.where("kind = 'answer'").select(F.lit("answer").alias("kind"), "shard", "chunk", "a", "b", "c").union(about_words.select("kind", "shard", "chunk", "a", "b", "c"))
+    chunks = store.written(_pack(store.id_text(docs, id_col, text_col)), "chunks")
+    model = train(chunks, min_count)
+    shards, d2 = model.shards, np.append(model.d2, 1.0)
 
     def evaluate(texts: pa.Table, got: pa.Table) -> pa.Table:
-        ids, raw = _unpack(texts.column("docs"))
-        several = len(raw)
+        ids, raw = _unpack(texts.column("docs")[0].as_buffer())
+        chunk, several = texts.column("chunk")[0].as_py(), len(ids)
         w, h, doc = _tokens(raw)
         del raw
-        kind, shard = got.column("kind").to_pylist(), got.column("shard").to_pylist()
-        a, b, c = (got.column(x).to_pylist() for x in "abc")
+        answers = sorted(zip(got.column("kind").to_pylist(), got.column("shard").to_pylist(), got.column("a").to_pylist()))
 
-        def together(what: str, column: list, kind_of) -> np.ndarray:
-            own = sorted((s, i) for i, (k, s) in enumerate(zip(kind, shard)) if k == what)
-            return np.concatenate([np.frombuffer(column[i], kind_of) for _, i in own] or [np.zeros(0, kind_of)])
+        def together(what: str) -> np.ndarray:
+            return np.concatenate([_counts(x) for kind, _, x in answers if kind == what])
 
-        total = np.zeros(several)
+        total, away = np.zeros(several), [_EMPTY, _EMPTY]
+        open_ = np.zeros(several, np.int64)
         if len(w):
-            _, _, _, _, which = _bigrams(w, h, shards)
-            n = together("answer", a, np.uint32).astype(np.float64)[which]
-            _, uniq, _, _ = _unigrams(w, h, shards)
+            which = _bigrams(w, h, shards)[-1]
+            n = together("answer")[which]
+            del which
+            uniq = _unigrams(w, h, shards)[1]
             order = np.argsort(uniq)
-            place_w, place_h = (order[np.searchsorted(uniq, x, sorter=order)] for x in (w, h))
-            m = together("words", a, np.int64)[place_h]
-            lower = together("words", c, np.float32)[place_h].astype(np.float64) + together("words", b, np.float32)[place_w]
+            m = together("history")[order[np.searchsorted(uniq, h, sorter=order)]]
             kept = n >= min_count
-            d = np.append(d2, 1.0)[np.minimum(n, len(d2)).astype(np.int64)]
-            lp = np.where(kept, np.log(np.maximum(d * n, 1e-300) / np.maximum(m, 1)), lower)
+            lp = np.where(kept, np.log(np.maximum(d2[np.minimum(n, len(d2) - 1)] * n, 1e-300) / np.maximum(m, 1)), 0)
             total = np.bincount(doc, lp, several)
+            away = [h[~kept], w[~kept]]
+            open_ = np.bincount(doc[~kept], minlength=several)
         tokens = np.bincount(doc, minlength=several)
-        none = tokens == 0
-        perplexity = np.exp(np.minimum(-total / np.maximum(tokens, 1), 700))
-        return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens.astype(np.int64)), pa.array(np.round(total, 4) + 0.0), pa.array(np.round(perplexity, 4), mask=none)], ["doc_id", "n_tokens", "log_prob", "perplexity"])
-
-    return _pack(t, shards).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(evaluate, "doc_id long, n_tokens long, log_prob double, perplexity double")
+        edge = pa.array(np.concatenate([[0], np.cumsum(open_)]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(edge, pa.array(x.view(np.int64))) for x in away]
+        rid = (chunk << 24) + np.arange(several)
+        return pa.Table.from_arrays([pa.array(rid), pa.array(ids, pa.int64()), pa.array(tokens.astype(np.int64)), pa.array(total), *lists], ["rid", "doc_id", "n_tokens", "log_prob", "hs", "ws"])
+
+    answers = model.counted.where("kind in ('answer', 'history')").select("kind", "shard", "chunk", "a")
+    scored = chunks.select("chunk", "docs").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(evaluate, "rid long, doc_id long, n_tokens long, log_prob double, hs array<long>, ws array<long>")
+    scored = store.written(scored, "scored")
+    open_ = scored.where("size(hs) > 0").select("rid", F.explode(F.arrays_zip("hs", "ws")).alias("x")).select("rid", F.col("x.hs").alias("h"), F.col("x.ws").alias("w"))
+    lp = F.col("log_prob")
+    if not open_.isEmpty():
+        p = F.greatest(F.coalesce("alpha", F.lit(1.0)) * F.coalesce("p", F.lit(model.unknown)), F.lit(1e-300))
+        backed = open_.join(model.words.select("w", "p"), "w", "left").join(model.histories, "h", "left").groupBy("rid").agg(F.sum(F.log(p)).alias("lower"))
+        scored, lp = scored.join(backed, "rid", "left"), lp + F.coalesce("lower", F.lit(0.0))
+    perplexity = F.when(F.col("n_tokens") > 0, F.round(F.exp(F.least(-lp / F.col("n_tokens"), F.lit(700.0))), 4))
+    return scored.select("doc_id", "n_tokens", F.round(lp + 0.0, 4).alias("log_prob"), perplexity.alias("perplexity"))
 
 
 def model_tables(docs: DataFrame, text_col: str = "text", min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
     """The model itself: words (w, n, m, p, alpha) and bigrams (h, w, n, p)."""
-    _, model = train(docs.select(F.lit(None).cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), min_count)
-    words = model.words.select("w", "n", "m", "p", "alpha")
-    return words, model.bigrams.join(words.select(F.col("w").alias("h"), "m"), "h").select("h", "w", "n", (F.col("discounted") / F.col("m")).alias("p"))
+    chunks = store.written(_pack(docs.select(F.lit(None).cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))), "chunks")
+    model = train(chunks, min_count)
+    return model.words.join(model.histories.withColumnRenamed("h", "w"), "w", "left").select("w", "n", "m", "p", F.coalesce("alpha", F.lit(1.0)).alias("alpha")), model.bigrams

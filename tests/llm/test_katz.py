@@ -13,7 +13,7 @@ def words(t):
     return re.findall(r"[^\W_]+", (t or "").lower())
 
 
-def brute(texts, k=5, least=2):
+def brute(texts, k=5, least=1):
     uni, bi, hist = Counter(), Counter(), Counter()
     for t in texts:
         w = words(t)
@@ -49,11 +49,14 @@ def corpus():
     return [" ".join(r.choices(vocabulary, [1 / (i + 1) for i in range(60)], k=r.randint(0, 40))) for _ in range(80)]
 
 
-def test_scores_are_those_of_plain_recursion(spark):
+@pytest.mark.parametrize("least, size", [(1, 1 << 23), (2, 300), (4, 300)])
+def test_scores_are_those_of_plain_recursion(spark, monkeypatch, least, size):
+    monkeypatch.setattr(katz, "CHUNK", size)  # the functions sent to workers carry it along by value
+    monkeypatch.setattr(katz, "SHARD", size)
     texts = [*corpus(), None, "", "!!!", corpus()[0]]
     docs = spark.createDataFrame([*enumerate(texts)], SCHEMA)
-    p, p1, hist = brute(texts)
-    got = {r["doc_id"]: r for r in katz.score(docs).collect()}
+    p, p1, hist = brute(texts, least=least)
+    got = {r["doc_id"]: r for r in katz.score(docs, min_count=least).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         w = words(t)
@@ -68,7 +71,7 @@ def test_query_keeps_bigrams_seen_once(spark, tmp_path):
 
     texts = [*corpus(), "only here", None]
     spark.createDataFrame([*enumerate(texts)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
-    p, _, _ = brute(texts, least=1)
+    p, _, _ = brute(texts)
     got = {r["doc_id"]: r["log_prob"] for r in queries.op2_katz_backoff(spark, str(tmp_path)).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
@@ -76,10 +79,11 @@ def test_query_keeps_bigrams_seen_once(spark, tmp_path):
         assert got[i] == pytest.approx(sum(math.log(max(p(h, x), 1e-300)) for h, x in zip(["<s>", *w], w)), abs=1e-3)
 
 
-def test_probabilities_after_each_history_sum_to_one(spark):
+@pytest.mark.parametrize("least", [1, 2])
+def test_probabilities_after_each_history_sum_to_one(spark, least):
     texts = corpus()
     docs = spark.createDataFrame([*enumerate(texts)], SCHEMA)
-    table, bigrams = (t.toPandas() for t in katz.model_tables(docs))
+    table, bigrams = (t.toPandas() for t in katz.model_tables(docs, min_count=least))
     unknown = 1 - table.p.sum()
     assert 0 <= unknown < 1
     lower = dict(zip(table.w, table.p))
