@@ -11,14 +11,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.llm import store
 
 #: The most labelled documents that the network is trained on, for each language.
 PER_LANGUAGE = 300
-#: The most windows of one document used in training, drawn from all of it.
-WINDOWS_PER_DOCUMENT = 12
+#: The most languages that a network is trained to tell apart: the commonest.
+MAX_LANGUAGES = 256
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 12
@@ -51,7 +52,7 @@ class Network:
         """Each position's embedded bytes, as many as the widest filter has: windows * positions x width * EMBEDDING."""
         n, length = w.shape
         e, wide = self.embedding.shape[1], len(self.filters) // self.embedding.shape[1]
-        x = np.zeros((n, length + wide - 1, e), np.float32)
+        x = np.zeros((n, length + wide - 1, e), self.embedding.dtype)
         x[:, :length] = self.embedding[w]
         view = np.lib.stride_tricks.as_strided(x, (n, length, wide * e), (x.strides[0], x.strides[1], x.strides[2]))
         return view.reshape(n * length, wide * e)
@@ -60,6 +61,29 @@ class Network:
         a = (self.patches(w) @ self.filters).reshape(len(w), w.shape[1], -1)
         return a, np.maximum(a.max(1) + self.bias, 0)
 
+    def gradients(self, x: np.ndarray, label: np.ndarray, weight: np.ndarray, mask: np.ndarray) -> list[np.ndarray]:
+        """Of the weighted mean cross-entropy of some windows: by embedding, filters, bias, and both parts of the output."""
+        n, wide, e = len(x), len(self.filters) // self.embedding.shape[1], self.embedding.shape[1]
+        a, pooled = self.pooled(x)
+        z = pooled @ self.out + self.out_bias
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(n), label] -= 1
+        dz = (p * weight[:, None] / n).astype(self.out.dtype)
+        dpool = (dz @ self.out.T) * (pooled > 0)
+        # only the position that won is answerable
+        at = a.argmax(1) + np.arange(n)[:, None] * x.shape[1]
+        patch = self.patches(x)[at]  # n x k x wide*e
+        dfilters = np.einsum("nkd,nk->dk", patch, dpool) * mask
+        dpatch = dpool[:, :, None] * self.filters.T[None]
+        padded = np.concatenate([x, np.zeros((n, wide - 1), np.uint8)], 1)
+        rows = at // x.shape[1], at % x.shape[1]
+        taken = np.stack([padded[rows[0], rows[1] + o] for o in range(wide)], 2)
+        dembedding = np.zeros_like(self.embedding)
+        np.add.at(dembedding, taken.ravel(), dpatch.reshape(-1, e))
+        dembedding[0] = 0
+        return [dembedding, dfilters, dpool.sum(0), pooled.T @ dz, dz.sum(0)]
+
     def log_probabilities(self, w: np.ndarray) -> np.ndarray:
         out = np.zeros((len(w), len(self.languages)))
         for i in range(0, len(w), BLOCK):
@@ -110,11 +134,6 @@ def train(texts: list[str], languages: list[str], epochs: int = 4, batch: int =
         return net
     w, count = windows([t.encode() for t in texts])
     label = np.repeat([names.index(x) for x in languages], count)
-    # of a long document, windows from all over it
-    text = np.repeat(np.arange(len(count)), count)
-    mixed = np.lexsort((rng.random(len(w)), text))
-    few = np.sort(mixed[np.arange(len(w)) - np.repeat(np.cumsum(count) - count, count) < WINDOWS_PER_DOCUMENT])
-    w, label = w[few], label[few]
     # languages count alike, however many windows they have
     weight = (len(label) / np.maximum(np.bincount(label, minlength=len(names)), 1) / len(names))[label]
     params = [net.embedding, net.filters, net.bias, net.out, net.out_bias]
@@ -123,59 +142,44 @@ def train(texts: list[str], languages: list[str], epochs: int = 4, batch: int =
         order = rng.permutation(len(w))
         for lo in range(0, len(order), batch):
             own = order[lo : lo + batch]
-            x, n = w[own], len(own)
-            a, pooled = net.pooled(x)
-            z = pooled @ net.out + net.out_bias
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(n), label[own]] -= 1
-            dz = (p * weight[own, None] / n).astype(np.float32)
-            dpool = (dz @ net.out.T) * (pooled > 0)
-            # only the position that won is answerable
-            at = a.argmax(1) + np.arange(n)[:, None] * x.shape[1]
-            patch = net.patches(x)[at]  # n x k x wide*e
-            dfilters = np.einsum("nkd,nk->dk", patch, dpool) * mask
-            dpatch = dpool[:, :, None] * net.filters.T[None]
-            padded = np.concatenate([x, np.zeros((n, wide - 1), np.uint8)], 1)
-            rows = at // x.shape[1], at % x.shape[1]
-            taken = np.stack([padded[rows[0], rows[1] + o] for o in range(wide)], 2)
-            dembedding = np.zeros_like(net.embedding)
-            np.add.at(dembedding, taken.ravel(), dpatch.reshape(-1, e))
-            dembedding[0] = 0
+            gradients = net.gradients(w[own], label[own], weight[own], mask)
             step += 1
-            for q, g, m, v in zip(params, [dembedding, dfilters, dpool.sum(0), pooled.T @ dz, dz.sum(0)], first, second):
+            for q, g, m, v in zip(params, gradients, first, second):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 q -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return net
 
 
+def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most: int = MAX_LANGUAGES) -> DataFrame:
+    """(lang, h, text): up to ``per_language`` different rows of each of the ``most`` commonest languages, those with the smallest hashes.
+
+    Rows are told apart by id and text together, so a language whose rows share an id, or have none, is sampled like any other.
+    """
+    t = docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"), F.xxhash64(F.lit(3), docs[id_col].cast("long"), docs[text_col].cast("string")).alias("h"))
+    t = t.where("lang <> '' and text <> ''")
+    common = t.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).select("lang")
+    # the texts stay behind until it is known which of them are needed
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    few = t.select("lang", "h").distinct().join(F.broadcast(common), "lang").withColumn("r", rank).where(F.col("r") <= per_language).select("lang", "h")
+    return t.join(F.broadcast(few), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Network:
-    """A network trained on up to ``per_language`` documents of each language, those with the smallest hashes.
+    """A network trained on up to ``per_language`` documents of each language, all windows of each.
 
     Rows with a null or empty language or text teach nothing. Without any labelled row the network knows no language.
     """
-    from pyspark.sql import Window as W
-
-    t = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
-    # ids and languages alone tell which rows are needed: about how many have a hash below which threshold
-    named = t.where("lang <> '' and doc_id is not null")
-    share = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not share:
-        return train([], [])
-    hashed = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30))
-    limit = F.create_map(*(x for k, n in share.items() for x in (F.lit(k), F.lit(int(min(1.0, 2 * per_language / n + 50 / n) * (1 << 30))))))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", "text"))
-    near = named.where("text <> ''").withColumn("h", hashed).where(F.col("h") <= limit[F.col("lang")])
-    rows = near.withColumn("r", rank).where(F.col("r") <= per_language).select("lang", "r", "text").toPandas().sort_values(["lang", "r"])
+    rows = labelled(docs, id_col, text_col, lang_col, per_language).toPandas().sort_values(["lang", "h"])
     return train(rows["text"].tolist(), rows["lang"].tolist())
 
 
 def identify(docs: DataFrame, network: Network | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
-    """(doc_id, language, confidence): one row for every row, over its whole text, whatever its id.
+    """(doc_id, language, confidence): one row for every row, over its whole text, however long and whatever its id.
 
     Null and empty texts have a null language and confidence. Without ``network`` one is trained on the documents' own
-    ``lang_col``. The network is a few kilobytes, whatever the data's size.
+    ``lang_col``. Repeated rows and ids give a row each; extra columns are left out; an empty table gives an empty result. The
+    network is a few kilobytes, whatever the data's size.
     """
     shared = docs.sparkSession.sparkContext.broadcast(network or fit(docs, id_col, text_col, lang_col, per_language))
 
