@@ -63,6 +63,30 @@ def test_importance_weights_and_draw(spark, odd, empty, no_labels):
     assert not any(x["selected"] for x in out if x["log_weight"] is None)
 
 
+def test_the_draw_is_a_gumbel_top_k(spark, no_labels):
+    from pyspark.sql import functions as F
+
+    r = random.Random(31)
+    rows = [(i % 50, f"a{r.randrange(9)} b{r.randrange(9)}", "en") for i in range(200)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    tid = F.xxhash64("text")
+    noise = {(x["doc_id"], x["text"]): x["n"] for x in docs.withColumn("n", F.xxhash64(F.lit(importance.SEED), "doc_id", tid)).collect()}
+    weight = {}
+    for x, y in zip(importance.weigh(docs.select("doc_id", "text"), importance.log_ratio(*importance.bucket_counts(docs.select("doc_id", "text"), labels.where("quality = 1").select("doc_id")))).collect(), rows):
+        weight[y[0], y[1]] = x["log_weight"]
+
+    def key(i, t):
+        u = (int(textcore.mix(np.array([noise[i, t]], np.int64).view(np.uint64))[0]) >> 11) + 0.5
+        return weight[i, t] - np.log(-np.log(u / 2.0**53))
+
+    for k in (1, 60, 199):
+        best = sorted((key(i, t) for i, t, _ in rows), reverse=True)[:k]
+        got = importance.resample(docs, labels, k=k).where("selected").collect()
+        assert len(got) == k
+        assert sorted(x["log_weight"] for x in got) == pytest.approx(sorted(weight[i, t] for i, t in [min(weight, key=lambda it: abs(key(*it) - b)) for b in best]), abs=1e-6)
+
+
 def test_kth_largest_is_exact(spark):
     r = random.Random(2)
     values = [r.choice([-(2**62), -5, 0, 7, r.getrandbits(60)]) for _ in range(200)]
@@ -95,9 +119,129 @@ def test_language_network(spark, odd, empty):
     assert langid.identify(empty).count() == 0
 
 
+def plain_network(net, window):
+    """A window's probabilities, one position and filter at a time."""
+    wide, e = len(net.filters) // net.embedding.shape[1], net.embedding.shape[1]
+    pooled = []
+    for k in range(net.filters.shape[1]):
+        best = -np.inf
+        for at in range(len(window)):
+            total = 0.0
+            for o in range(wide):
+                if at + o < len(window):
+                    for j in range(e):
+                        total += float(net.embedding[window[at + o], j]) * float(net.filters[o * e + j, k])
+            best = max(best, total)
+        pooled.append(max(best + float(net.bias[k]), 0.0))
+    z = [sum(p * float(net.out[i, c]) for i, p in enumerate(pooled)) + float(net.out_bias[c]) for c in range(len(net.languages))]
+    top = max(z)
+    return np.array([x - top - np.log(sum(np.exp(y - top) for y in z)) for x in z])
+
+
+def test_language_network_against_loops():
+    r = np.random.default_rng(8)
+    net = langid.train(["abc abd " * 30, "xyz xyy " * 30], ["p", "q"], epochs=1)
+    w = r.integers(0, 256, (3, 20), np.uint8)
+    w[0, 9:] = 0
+    assert np.allclose(net.log_probabilities(w), [plain_network(net, x) for x in w], atol=1e-4)
+    # gradients by small steps, in double precision
+    for f in ("embedding", "filters", "bias", "out", "out_bias"):
+        setattr(net, f, getattr(net, f).astype(np.float64))
+    label, weight, mask = np.array([0, 1, 1]), np.array([1.0, 0.5, 2.0]), np.ones(net.filters.shape)
+    loss = lambda: -(net.log_probabilities(w)[np.arange(3), label] * weight).mean()
+    grads = net.gradients(w, label, weight, mask)
+    for f, g in zip(("embedding", "filters", "bias", "out", "out_bias"), grads):
+        p = getattr(net, f)
+        for at in [tuple(r.integers(0, n) for n in p.shape) for _ in range(12)]:
+            if f == "embedding":
+                at = (int(w[1, at[0] % 20]) or 1, at[1])
+            old = p[at]
+            p[at] = old + 1e-6
+            up = loss()
+            p[at] = old - 1e-6
+            down = loss()
+            p[at] = old
+            assert g[at] == pytest.approx((up - down) / 2e-6, abs=1e-5)
+
+
+def test_languages_of_repeated_ids_are_sampled(spark):
+    rows = [(7, f"aa text {i}", "aa") for i in range(300)] + [(None, f"bb text {i}", "bb") for i in range(300)] + [(i, "cc same", "cc") for i in range(100)] + [(5, "cc twice", "cc")] * 40
+    few = langid.labelled(spark.createDataFrame(rows, SCHEMA), per_language=50).toPandas()
+    assert few.groupby("lang").size().to_dict() == {"aa": 50, "bb": 50, "cc": 50}
+    few = langid.labelled(spark.createDataFrame(rows, SCHEMA), per_language=500, most=2).toPandas()
+    assert few.groupby("lang").size().to_dict() == {"aa": 300, "bb": 300}
+
+
 # toxicity
 
 
+def plain_features(text, lexicon):
+    """The features of one text, a word and a character at a time."""
+    words = re.findall(r"[^\W_]+", text.lower())
+    second = set(toxicity.SECOND)
+    hit = [w in lexicon for w in words]
+    you = [i for i, w in enumerate(words) if w in second]
+    near = sum(h and any(abs(i - y) <= toxicity.NEAR for y in you) for i, h in enumerate(hit))
+    letters = [c for c in text if textcore.word_table()[ord(c)]]
+    capitals = sum(c.isupper() for c in text)
+    odd = sum(text[i] in "@$*#0134579!|" and all(textcore.word_table()[ord(c)] and not c.isdigit() for c in (text[i - 1], text[i + 1])) for i in range(1, len(text) - 1))
+    size = max(sum(not c.isspace() for c in text), 1)
+    marks = sum(not c.isspace() and not textcore.word_table()[ord(c)] for c in text)
+    n = max(len(words), 1)
+    return [sum(hit) / n, np.log1p(sum(hit)), near / max(sum(hit), 1), len(you) / n, capitals / max(len(letters), 1), float(capitals > 0.5 * max(len(letters), 1)), text.count("!") / size, marks / size, odd / size, np.log1p(len(words))]
+
+
+def test_toxicity_features_against_loops():
+    r = random.Random(41)
+    pieces = ["idiot", "you", "YOUR", "m0ron", "moron!", "nice", "st*pid", "A", "3rd", "...", "trash,", "é", "\n", "x" * 30]
+    texts = [" ".join(r.choices(pieces, k=r.randint(0, 60))) for _ in range(60)] + ["", "!!!", "you " * 90_000 + "idiot"]
+    lexicon = {0: np.sort(np.array([textcore.word_hash(w) for w in toxicity.BASE], np.uint64))}
+    assert len(texts[-1]) > textcore.SLICE
+    assert np.allclose(toxicity.features([*texts, None], lexicon), [plain_features(t, toxicity.BASE) for t in [*texts, ""]])
+
+
+def plain_boost(x, y, rounds, depth, rate, bins, l2):
+    """Boosted trees, every cut of every feature tried on every node."""
+    cuts = [sorted(set(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1]))) for j in range(x.shape[1])]
+    margin = np.full(len(y), np.log(y.mean() / (1 - y.mean())))
+    for _ in range(rounds):
+        q = 1 / (1 + np.exp(-margin))
+        g, h, leaves = y - q, q * (1 - q), [np.arange(len(y))]
+        for _ in range(depth):
+            new = []
+            for rows in leaves:
+                best, split = 1e-6, (rows, rows[:0])
+                for j, own in enumerate(cuts):
+                    for c in own:
+                        a, b = rows[x[rows, j] <= c], rows[x[rows, j] > c]
+                        gain = sum(g[k].sum() ** 2 / (h[k].sum() + l2) * s for k, s in ((a, 1), (b, 1), (rows, -1)))
+                        if gain > best + 1e-12:
+                            best, split = gain, (a, b)
+                new += split
+            leaves = new
+        for rows in leaves:
+            margin[rows] += rate * g[rows].sum() / (h[rows].sum() + l2)
+    return margin
+
+
+def test_boosting_against_loops():
+    r = np.random.default_rng(9)
+    x = np.round(r.normal(size=(120, 3)), 2)
+    y = (x[:, 0] + x[:, 1] ** 2 + 0.3 * r.normal(size=120) > 0.8).astype(float)
+    trees = toxicity.boost(x, y, rounds=4, depth=2, rate=0.3, bins=8, l2=1.0)
+    assert np.allclose(trees.margin(x), plain_boost(x, y, 4, 2, 0.3, 8, 1.0))
+
+
+def test_isotonic_against_its_definition():
+    r = np.random.default_rng(10)
+    x, y = r.integers(0, 30, 80) / 10, r.integers(0, 2, 80).astype(float)
+    at, p = toxicity.isotonic(x, y)
+    groups = [y[x == u] for u in at]
+    mean = lambda a, b: np.concatenate(groups[a : b + 1]).mean()
+    want = [max(min(mean(a, b) for b in range(i, len(at))) for a in range(i + 1)) for i in range(len(at))]
+    assert np.allclose(p, want)
+
+
 def test_toxicity(spark, odd, empty, no_labels):
     r = random.Random(4)
     rows, labels = [], []
@@ -235,10 +379,8 @@ def test_spans(spark, odd, empty):
         for s in r.sample(shared, r.randint(0, 2)):
             parts.insert(r.randint(0, len(parts)), s)
         docs.append((i, "".join(parts), "en"))
-    want = brute_spans([d[:2] for d in docs])
-    for most in (spans.MAX_BROADCAST, 0):
-        got = {x["doc_id"]: x["text"] for x in spans.deduplicate(spark.createDataFrame(docs, SCHEMA), max_broadcast=most).collect()}
-        assert got == want
+    got = {x["doc_id"]: x["text"] for x in spans.deduplicate(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert got == brute_spans([d[:2] for d in docs])
     out = spans.deduplicate(odd, removed_col="n")
     assert out.columns == [*odd.columns, "n"]
     assert sorted(str(x["text"]) for x in out.collect()) == sorted(str(x[1]) for x in ODD)
