@@ -7,7 +7,8 @@ segment is indexed once for each of its bits, with that bit deleted, so such pai
 
 A meeting also carries what follows its segment around the ring of segments. Of a pair within distance D some segment begins a
 ring of which the first l segments differ in at most l * D / m bits, for every l; meetings where the next segments differ
-in more are dropped on the spot. Every other one is verified on the full signature. Nothing within ``2m - 1`` is lost and
+in more are dropped on the spot. Segments that are equal meet at each of their bits, of which the first one counts. Every other
+meeting is verified on the full signature. Nothing within ``2m - 1`` is lost and
 nothing beyond it is accepted: with 13 segments that is 25 bits of 256. Signatures are collapsed before the join, so
 thousands of exact copies cost one signature.
 """
@@ -92,10 +93,10 @@ def _cuts(segments: int) -> list[tuple[int, int]]:
 
 
 def _ring(segments: int) -> tuple[int, int, list[tuple[int, int]]]:
-    """Bits of the widest key, bits of the ring that fit behind it, and (bits, most differences) to test there."""
+    """Bits of the widest key, bits of the ring that fit behind it and the deleted bit, and (bits, most differences) to test there."""
     cuts = _cuts(segments)
     wide = max(hi - lo for lo, hi in cuts) - 1
-    room = max(0, 64 - _PLACE - wide)
+    room = 64 - _PLACE - wide - 1
     tests, radius = [], 2 * segments - 1
     for several in range(1, segments):
         # the bits of the next ``several`` segments, wherever on the ring one begins
@@ -111,7 +112,7 @@ def _ring(segments: int) -> tuple[int, int, list[tuple[int, int]]]:
 def _variant_keys(sig: np.ndarray, segments: int) -> np.ndarray:
     """All one-deletion variants: row r, column b is the key of signature r's segment around bit b without that bit.
 
-    From the top: the place b, the other bits of the segment, and as many of the bits after the segment as there is room for.
+    From the top: the place b, the other bits of the segment, bit b, and as many of the bits after the segment as there is room for.
     """
     bits = np.unpackbits(np.ascontiguousarray(sig).view(np.uint8), axis=1)
     wide, room, _ = _ring(segments)
@@ -126,17 +127,19 @@ def _variant_keys(sig: np.ndarray, segments: int) -> np.ndarray:
             place = hi - 1 - b
             # bits above the deleted one move down by one place
             gone = ((value >> _U(place + 1)) << _U(place)) | (value & _U((1 << place) - 1))
-            keys[:, b] = (((_U(b) << _U(wide)) | gone) << _U(room)) | after
+            keys[:, b] = (((((_U(b) << _U(wide)) | gone) << _U(1)) | bits[:, b]) << _U(room)) | after
     return keys
 
 
 def _runs_to_pairs(key: np.ndarray, who: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     """All pairs (a < b) of different ``who`` that share a key and don't differ too much in the ring after it, each once."""
-    _, room, tests = _ring(segments)
+    wide, room, tests = _ring(segments)
+    first = np.zeros(BITS, bool)
+    first[[lo for lo, _ in _cuts(segments)]] = True
     order = np.argsort(key)
     after, w = key[order], who[order]
-    k = after >> _U(room)
-    after &= _U((1 << room) - 1)
+    k = after >> _U(room + 1)
+    after &= _U((2 << room) - 1)
     edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
     edge, size = edge[:-1], np.diff(edge)
     out = []
@@ -151,6 +154,9 @@ def _runs_to_pairs(key: np.ndarray, who: np.ndarray, segments: int) -> tuple[np.
             left = edge[run] + x - (ends[run] - n[run])
             differ = after[left] ^ after[left + step]
             fine = w[left] != w[left + step]
+            # an equal segment counts at its first bit only
+            fine &= (differ >> _U(room) != 0) | first[(k[left] >> _U(wide)).astype(np.int64)]
+            differ &= _U((1 << room) - 1)
             for bits, most in tests:
                 fine &= np.bitwise_count(differ >> _U(room - bits)) <= most
             left = left[fine]
@@ -186,7 +192,7 @@ def near_pairs(groups: DataFrame, segments: int = SEGMENTS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     variants = groups.select("rep", *_SIG).mapInArrow(expand, "key long, rep long")
-    met = variants.repartition(F.shiftrightunsigned("key", room)).mapInArrow(meet, "a long, b long").distinct()
+    met = variants.repartition(F.shiftrightunsigned("key", room + 1)).mapInArrow(meet, "a long, b long").distinct()
     left = groups.select(F.col("rep").alias("a"), *(F.col(c).alias(f"l{c}") for c in _SIG))
     right = groups.select(F.col("rep").alias("b"), *(F.col(c).alias(f"r{c}") for c in _SIG))
     distance = sum((F.bit_count(F.col(f"l{c}").bitwiseXOR(F.col(f"r{c}"))) for c in _SIG), F.lit(0))
