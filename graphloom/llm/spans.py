@@ -19,8 +19,6 @@ SENTENCE = r"[^.!?,;:\n]*[.!?,;:\n]+[ \t\n\x0b\f\r]*|[^.!?,;:\n]+$"
 WORDS = 12
 #: A sentence of more than this many words is a run by itself.
 SINGLE_WORDS = 24
-#: Repeated runs, and places to cut, up to this many go to the executors whole (some 64 MB); beyond, both sides are shuffled.
-MAX_BROADCAST = 500_000
 _SENTENCE = re.compile(SENTENCE)
 _BATCH = 1 << 21
 
@@ -128,7 +126,7 @@ def _key(doc_id: Column, text: Column) -> Column:
 _LAST = (1 << 63) - 1
 
 
-def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tid, gone): for each document with a repeated run that isn't the first, the sentences such runs cover.
 
     The first occurrence of a run is the one with the smallest (doc_id, text key, position), a null doc_id coming last. Runs
@@ -138,7 +136,7 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max
     order = F.coalesce("doc_id", F.lit(_LAST))
     once = runs(docs, id_col, text_col, once=True).groupBy("k1", "k2").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.min("tid").alias("t0"), F.max("tid").alias("t1"))
     repeated = store.written(once.where("first < last or t0 < t1").select("k1", "k2", "first"), "repeated")
-    places = runs(docs, id_col, text_col).join(store.small(repeated, max_broadcast), ["k1", "k2"], "left").where("first is not null or again")
+    places = runs(docs, id_col, text_col).join(repeated, ["k1", "k2"], "left").where("first is not null or again")
     places = store.written(places, "places")
     # in the first document itself: of several texts under its id, all but the one with the smallest key come later
     own = places.where(order == F.col("first")).groupBy("k1", "k2").agg(F.min("tid").alias("t0"), F.max("tid").alias("t1")).where("t0 < t1")
@@ -148,7 +146,7 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max
     return later.union(tied).groupBy("doc_id", "tid").agg(cut.alias("gone"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
     """``docs`` without the sentences covered by a repeated run that isn't its first occurrence.
 
     A run is two or more consecutive sentences with 12 words or more, or one of more than 24 words; a sentence ends at a full
@@ -157,14 +155,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all columns as they were, but for the text; a text may become empty. With ``removed_col``, the number of removed
     sentences is added. Null texts stay null; texts count whole, however long. Rows equal in id and text count as one
     document, so they do not empty each other; a null doc_id is an id that comes last. An empty table gives an empty
-    result. ``max_broadcast`` changes how the rows are brought together, not what comes out.
+    result.
     """
     tid, gone, key, tid_r = (store.fresh(docs, x) for x in ("tid", "gone", "key", "tidr"))
-    cut = store.written(covered(docs, id_col, text_col, max_broadcast), "covered")
-    places = cut.agg(F.sum(F.size("gone")).alias("n")).collect()[0]["n"] or 0
-    cut = cut.select(F.col("doc_id").alias(key), F.col("tid").alias(tid_r), F.col("gone").alias(gone))
+    cut = covered(docs, id_col, text_col).select(F.col("doc_id").alias(key), F.col("tid").alias(tid_r), F.col("gone").alias(gone))
     marked = docs.withColumn(tid, _key(docs[id_col].cast("long"), docs[text_col].cast("string")))
-    joined = marked.join(F.broadcast(cut) if places <= 8 * max_broadcast else cut, marked[id_col].cast("long").eqNullSafe(cut[key]) & (marked[tid] == cut[tid_r]), "left")
+    joined = marked.join(cut, marked[id_col].cast("long").eqNullSafe(cut[key]) & (marked[tid] == cut[tid_r]), "left")
     g = F.col(gone)
     # what lies between the places that go, one slice each
     between = lambda s, i: F.slice(s, F.coalesce(F.get(g, i - 1) + 1, F.lit(0)) + 1, F.coalesce(F.get(g, i), F.size(s)) - F.coalesce(F.get(g, i - 1) + 1, F.lit(0)))
