@@ -393,7 +393,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     """(doc_id, ids, n_tokens, round_trip): the ids of every row's whole text.
 
     ``round_trip`` tells whether decoding the ids gave the text again. A null text has null ids, count and round trip;
-    an empty one has no ids. Every row gives one row, also where ids repeat or are null; extra columns are left out.
+    an empty one has no ids. Every row gives one row, also where ids repeat or are null; extra columns are left out; an empty
+    table gives an empty result.
     What is broadcast is the vocabulary, whose size doesn't depend on the data.
     """
     table = _table(docs, vocabulary)

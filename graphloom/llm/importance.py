@@ -115,7 +115,8 @@ def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, k: int |
 
     k is ``share`` of the rows with a text, unless given. Null texts have no importance and are never drawn; empty ones have
     importance 0. Of equal keys (rows equal in id and text) either may be drawn, but exactly k rows are. An empty table
-    gives an empty result; without labelled good documents all importances are 0 and the draw is uniform.
+    gives an empty result; without labelled good documents all importances are 0 and the draw is uniform. Texts count whole,
+    however long; extra columns are left out.
     """
     t = store.id_text(docs)
     good = samples.labelled(labels, "quality", most).where("y = 1").select("doc_id")

@@ -56,12 +56,14 @@ def codes_of(s: str) -> np.ndarray:
 
 
 def pieces(text: str, most: int = SLICE) -> Iterator[str]:
-    """``text`` in parts of at most ``most`` characters, cut between words; a longer word is cut inside."""
+    """``text`` in parts of at most ``most`` characters, cut between words; a part that begins with a longer word has all of it."""
     at, table = 0, word_table()
     while len(text) - at > most:
-        tail = table[codes_of(text[at : at + most + 1])]
-        gaps = np.flatnonzero(~tail)
-        cut = int(gaps[-1]) if len(gaps) and gaps[-1] else most
+        gaps = np.flatnonzero(~table[codes_of(text[at : at + most + 1])][1:]) + 1
+        cut = int(gaps[-1]) if len(gaps) else most + 1
+        while not len(gaps) and at + cut < len(text):
+            gaps = np.flatnonzero(~table[codes_of(text[at + cut : at + cut + most])])
+            cut += int(gaps[0]) if len(gaps) else most
         yield text[at : at + cut]
         at += cut
     yield text[at:]

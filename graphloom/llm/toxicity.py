@@ -38,7 +38,8 @@ def _per_text(texts: list[str]) -> np.ndarray:
             hi += 1
         step = 4 * textcore.SLICE
         for a in range(0, max(size, 1), step):  # a single text may be longer than a slice
-            part = texts[lo:hi] if size <= step else [texts[lo][a : a + step]]
+            # with a character on either side, which tells what is inside a word
+            part = texts[lo:hi] if size <= step else [texts[lo][max(a - 1, 0) : a + step + 1]]
             codes = textcore.codes_of("\n".join(part) + "\n")
             edge = np.concatenate([[0], np.cumsum([len(t) + 1 for t in part])])
             word = textcore.word_table()[codes]
@@ -48,7 +49,7 @@ def _per_text(texts: list[str]) -> np.ndarray:
             letter = word & ~((codes >= 48) & (codes <= 57))
             odd[1:-1] = np.isin(codes[1:-1], _LEET) & letter[:-2] & letter[2:]
             for k, x in enumerate((word, upper, codes == 33, ~word & ~space, odd, ~space)):
-                out[lo:hi, k] += np.add.reduceat(x, edge[:-1], dtype=np.int64)
+                out[lo:hi, k] += np.add.reduceat(x, edge[:-1], dtype=np.int64) if size <= step else x[min(a, 1) : min(a, 1) + step].sum()
         lo = hi
     return out
 
@@ -237,7 +238,11 @@ def probability(docs: DataFrame, model: Model, text: Column) -> Column:
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most: int = MAX_LABELLED) -> DataFrame:
-    """(doc_id, toxicity, toxic): one row for every row, whatever its id; a null text has no toxicity and isn't toxic."""
+    """(doc_id, toxicity, toxic): one row for every row, whatever its id; a null text has no toxicity and isn't toxic.
+
+    An empty text is judged as one without words. Texts count whole, however long; repeated rows and ids give a row each; extra
+    columns are left out; an empty table gives an empty result. Ids that are labelled but have no document teach nothing.
+    """
     t = store.id_text(docs)
     p = probability(docs, fit(docs, labels, most), F.col("text"))
     return t.select("doc_id", p.alias("toxicity")).select("doc_id", "toxicity", F.coalesce(F.col("toxicity") >= threshold, F.lit(False)).alias("toxic"))

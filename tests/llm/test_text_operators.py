@@ -97,6 +97,20 @@ def test_kth_largest_is_exact(spark):
         assert (least, above) == (top[k - 1], sum(v > top[k - 1] for v in values))
 
 
+def test_words_of_long_texts_are_those_of_short_ones():
+    r = random.Random(51)
+    most = 64
+    for _ in range(40):
+        parts = ["x" * r.choice([1, 5, 63, 64, 65, 130, 400]) for _ in range(r.randint(1, 12))]
+        text = r.choice(["", " ", "..."]) + r.choice([" ", ", "]).join(parts) + r.choice(["", " ", "!"])
+        assert "".join(textcore.pieces(text, most)) == text
+        got = next(textcore.words([text], (4,), most))
+        assert got.lengths.tolist() == [len(p) for p in parts]
+        assert got.hashes.tolist() == [textcore.word_hash(p) for p in parts]
+    long = "z" * (2 * textcore.SLICE) + " end"
+    assert next(textcore.words([long])).lengths.tolist() == [2 * textcore.SLICE, 3]
+
+
 # language
 
 
@@ -194,7 +208,7 @@ def plain_features(text, lexicon):
 def test_toxicity_features_against_loops():
     r = random.Random(41)
     pieces = ["idiot", "you", "YOUR", "m0ron", "moron!", "nice", "st*pid", "A", "3rd", "...", "trash,", "é", "\n", "x" * 30]
-    texts = [" ".join(r.choices(pieces, k=r.randint(0, 60))) for _ in range(60)] + ["", "!!!", "you " * 90_000 + "idiot"]
+    texts = [" ".join(r.choices(pieces, k=r.randint(0, 60))) for _ in range(60)] + ["", "!!!", "you " * 90_000 + "idiot", "m0ron " * 60_000 + "yo@u " * 180_000]
     lexicon = {0: np.sort(np.array([textcore.word_hash(w) for w in toxicity.BASE], np.uint64))}
     assert len(texts[-1]) > textcore.SLICE
     assert np.allclose(toxicity.features([*texts, None], lexicon), [plain_features(t, toxicity.BASE) for t in [*texts, ""]])
