@@ -78,7 +78,8 @@ class PropertyGraph:
     """Nodes (id, ...) and edges (id, start_id, end_id, ...) with properties in a VARIANT column or in columns of their own.
 
     ``graph_col`` tells graphs in the same tables apart; every read is then scoped to ``name``. ``acyclic`` says of edges,
-    or of edges of certain kinds, that they have no cycle, which spares looking; None looks at the ids.
+    or of edges of certain kinds, that they have no cycle, which spares looking; None looks at the ids. It isn't checked: where
+    it is wrong, a walk reports edges that only lead around a circle as well.
     """
 
     nodes_table: DataFrame
@@ -88,6 +89,8 @@ class PropertyGraph:
     acyclic: bool | None = None
     rules: list = field(default_factory=list)
     schema: object = None
+    #: Declared vector fields by target and name; see ``operators.vectors``.
+    vectors: dict = field(default_factory=dict)
 
     @classmethod
     def create(cls, nodes: DataFrame, edges: DataFrame, name: str = "default", *, node_id: str = "id", edge_id: str = "id", start: str = "start_id", end: str = "end_id", graph_col: str | None = None, acyclic: bool | None = None) -> PropertyGraph:
@@ -121,7 +124,7 @@ class PropertyGraph:
         """Another graph in the same tables."""
         if not self.graph_col:
             raise GraphError("these tables hold a single graph")
-        return PropertyGraph(self.nodes_table, self.edges_table, name, self.graph_col, self.acyclic)
+        return PropertyGraph(self.nodes_table, self.edges_table, name, self.graph_col, self.acyclic, vectors=self.vectors)
 
     def graphs(self) -> list[str]:
         """Names of the graphs that have nodes."""
@@ -148,8 +151,16 @@ class PropertyGraph:
 
     # traversal
 
+    def _with_vectors(self, near: Sequence[Near], target: str = "nodes") -> tuple[Near, ...]:
+        """Conditions given by a text, with the vector that the field's embedder makes of it."""
+        fields = self.vectors.get(target, {})
+        for n in near:
+            if n.text is not None and n.field not in fields:
+                raise GraphError(f"{n.field!r} isn't a declared vector field: a text needs its embedder")
+        return tuple(n if n.text is None else n.of(fields[n.field].of_text([n.text])[0]) for n in near)
+
     def _ranked(self, rows: DataFrame, near, keep, boost) -> DataFrame:
-        return similarity.best(similarity.scored(rows, near, self.node_access, boost), keep).select("id")
+        return similarity.best(similarity.scored(rows, self._with_vectors(near), self.node_access, boost), keep).select("id")
 
     def _seed(self, start: Start) -> DataFrame:
         rows = self.matching(start.where, start.ids)
@@ -178,7 +189,8 @@ class PropertyGraph:
         if hop.rerank is not None:
             from graphloom.operators import rerank
 
-            kept = rerank.step(self, reached, hop)
+            ways = (lambda few: walked.walks) if walked.walks is not None else (lambda few: walk.enumerated(anchors, edges, few, hop.low, hop.high).walks)
+            kept = rerank.step(self, reached, hop, ways)
         else:
             kept = self._ranked(reached, hop.near, hop.keep, hop.boost)
         if walked.walks is not None:
@@ -189,7 +201,7 @@ class PropertyGraph:
 
     def _edge_beam(self, anchors: DataFrame, edges: DataFrame, targets: DataFrame | None, hop: Hop) -> walk.Walked:
         """Each walk goes on over its best edges only; those that would close a circle are no candidates."""
-        scored = similarity.scored(edges, hop.via_near, self.edge_access).select("id", F.col("from_id").alias("at"), F.col("to_id").alias("next"), "similarity")
+        scored = similarity.scored(edges, self._with_vectors(hop.via_near, "edges"), self.edge_access).select("id", F.col("from_id").alias("at"), F.col("to_id").alias("next"), "similarity")
         walks = []
         current = anchors.select(F.col("id").alias("at"), F.array("id").alias("path"), F.array().cast("array<bigint>").alias("edge_ids")).distinct()
         for depth in range(hop.high):
@@ -225,7 +237,7 @@ class PropertyGraph:
                 edges = lineage.cut(edges)
                 match = edges.select(F.col("to_id").alias("id")).distinct() if hop.high == 1 else lineage.cut(match)
             reported = edges if reported is None else reported.unionByName(edges)
-        ids = reported.select(F.col("from_id").alias("id")).union(reported.select("to_id"))
+        ids = reported.select(F.explode(F.array("from_id", "to_id")).alias("id"))
         if hops[-1].optional:
             ids = ids.union(before.select("id"))
         # an edge is reported once, however many hops took it
@@ -240,10 +252,11 @@ class PropertyGraph:
         if not hops and not start.near and start.rerank is None:
             return Subgraph(self.matching(start.where, start.ids), self.edges.limit(0))
         nodes, edges = self._chain(start, hops)
-        return Subgraph(self.nodes.join(nodes, "id", "left_semi"), edges)
+        # the ids are distinct; a semi-join would be pushed into every branch of the nodes' union, and the walk be run for each
+        return Subgraph(self.nodes.join(nodes, "id"), edges)
 
     def build_query(self, start: Start, *hops: Hop) -> tuple[DataFrame, DataFrame]:
-        """The plans of ``traverse``, not run."""
+        """The plans of ``traverse``: the last hop isn't run, those before it are, as their edges are written out."""
         found = self.traverse(start, *hops)
         return found.nodes, found.edges
 
@@ -271,7 +284,7 @@ class PropertyGraph:
         else:
             rows = self.last_match(start, *hops)
             if group_by is not None or any(agg != Count() for agg in aggregates.values()):
-                rows = self.nodes.join(rows, "id", "left_semi")
+                rows = self.nodes.join(rows, "id")
         if group_by is None:
             return rows.agg(*columns)
         return rows.groupBy(a.text(group_by).alias(group_by)).agg(*columns).orderBy(F.asc_nulls_last(group_by))
@@ -291,6 +304,7 @@ class PropertyGraph:
         boost = (boost,) if isinstance(boost, Boost) else tuple(boost)
         similarity.check_k(near, k)
         rows, access = self._target(target)
+        near = self._with_vectors(near, target)
         rows = rows.where((filters.compile_filter if target == "nodes" else filters.compile_via)(where, access))
         if rerank is not None:
             from graphloom.operators import rerank as r
@@ -304,7 +318,7 @@ class PropertyGraph:
         """(query, id, similarity) for a batch of queries of one shape."""
         rows, access = self._target(target)
         rows = rows.where((filters.compile_filter if target == "nodes" else filters.compile_via)(where, access))
-        return similarity.many(rows, [(q,) if isinstance(q, Near) else tuple(q) for q in queries], k, access)
+        return similarity.many(rows, [self._with_vectors((q,) if isinstance(q, Near) else tuple(q), target) for q in queries], k, access)
 
     def get_vectors(self, ids: Sequence[int], *fields: str, target: str = "nodes") -> DataFrame:
         rows, _ = self._target(target)
@@ -326,15 +340,16 @@ class PropertyGraph:
 
         return cypher.run(self, query, **options)
 
-    def traverse_json(self, spec: dict) -> Subgraph:
+    def traverse_json(self, spec: dict, rerank=None, allow_vectors: bool = True) -> Subgraph:
+        """``rerank`` is a policy; without one, a question can't ask for reranking."""
         from graphloom.plans import json_spec
 
-        return self.traverse(*json_spec.traversal(spec))
+        return self.traverse(*json_spec.traversal(spec, rerank, allow_vectors))
 
-    def aggregate_json(self, spec: dict) -> DataFrame:
+    def aggregate_json(self, spec: dict, rerank=None, allow_vectors: bool = True) -> DataFrame:
         from graphloom.plans import json_spec
 
-        start, hops, aggregates, group_by = json_spec.aggregation(spec)
+        start, hops, aggregates, group_by = json_spec.aggregation(spec, rerank, allow_vectors)
         return self.aggregate(start, *hops, aggregates=aggregates, group_by=group_by)
 
     def export(self, limit: int = 2000) -> Subgraph:

@@ -40,12 +40,39 @@ class Rule:
             raise ConstraintViolation(str(self), f"row {bad[0]['id']}")
 
 
+#: Columns of the tables that aren't properties.
+COLUMNS = ("id", "graph_id", "start_id", "end_id")
+
+
+@dataclass(frozen=True)
+class Col:
+    """A column of the table itself, where a bare name means a property."""
+
+    name: str
+
+    def __post_init__(self):
+        if self.name not in COLUMNS:
+            raise GraphError(f"a column is one of {COLUMNS}, not {self.name!r}")
+
+
+def key_name(key: str | Col) -> str:
+    return key.name if isinstance(key, Col) else key
+
+
+def key_text(access, key: str | Col) -> Column:
+    """The value at a property or column, as text."""
+    return F.col(key.name).cast("string") if isinstance(key, Col) else access.text(key)
+
+
 class Unique(Rule):
     """No two rows with the same values at all keys; rows without a value at one of them don't count."""
 
-    def __init__(self, *keys: str, where: object = None, target: str = "nodes"):
+    def __init__(self, *keys: str | Col, where: object = None, target: str = "nodes"):
         if not keys:
             raise GraphError("Unique needs a key")
+        bare = [k for k in keys if k in COLUMNS]
+        if bare:
+            raise GraphError(f"{bare[0]!r} is a column: write Col({bare[0]!r})")
         self.keys, self.where, self.target = keys, where, target
 
     def __repr__(self):
@@ -53,7 +80,7 @@ class Unique(Rule):
 
     def violations(self, g) -> DataFrame:
         rows, access = self._rows(g)
-        named = {f"__k{i}": access.text(k) for i, k in enumerate(self.keys)}
+        named = {f"__k{i}": key_text(access, k) for i, k in enumerate(self.keys)}
         keyed = rows.withColumns(named).select("id", *named).dropna(subset=[*named])
         twice = keyed.groupBy(*named).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         return keyed.join(twice, [*named], "left_semi").select("id")
@@ -105,6 +132,21 @@ class Check(Rule):
         return F.coalesce(~compile_filter(self.filter, access, False), F.lit(False))
 
 
+class Index:
+    """Rows by these keys, for speed only: it has no effect on what is found. ``write`` lays a table out by them."""
+
+    def __init__(self, *keys: str | Col, target: str = "nodes"):
+        if not keys:
+            raise GraphError("Index needs a key")
+        self.keys, self.target = keys, target
+
+    def write(self, g, path: str) -> None:
+        """The table, sorted by the keys within files that each hold a range of them, so that scans skip files and row groups."""
+        rows, access = (g.nodes, g.node_access) if self.target == "nodes" else (g.edges, g.edge_access)
+        named = {f"__k{i}": F.col(k.name) if isinstance(k, Col) else access.raw(k) if "properties" not in rows.columns else access.text(k) for i, k in enumerate(self.keys)}
+        rows.withColumns(named).repartitionByRange(*named).sortWithinPartitions(*named).drop(*named).write.parquet(path)
+
+
 def define(g, rules: Sequence[Rule]):
     """``g`` with rules; refused if its rows break one already."""
     for r in rules:

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from graphloom.errors import ConstraintViolation, GraphError
 from graphloom.functions import filters
 from graphloom.functions.props import bag
+from graphloom.operators import lineage
+from graphloom.operators.constraints import COLUMNS, Col, Unique, key_name, key_text
 
 
 @dataclass
@@ -63,7 +65,8 @@ def _rows(g, rows: Sequence[dict] | DataFrame, table: DataFrame, reserved: Seque
     return spark.createDataFrame(data, ", ".join(f"`{c}` {types.get(c) or new[c]}" for c in [*ids, *keys]))
 
 
-def _with_ids(rows: DataFrame, table: DataFrame) -> DataFrame:
+def _with_ids(rows: DataFrame, table: DataFrame, dense: bool = True) -> DataFrame:
+    """New rows with ids above those of the table, consecutive ones if ``dense``."""
     missing = rows.where("id is null").limit(1).count() if "id" in rows.columns else 1
     if not missing:
         twice = rows.select("id").unionByName(table.select("id").join(rows.select("id"), "id", "left_semi")).groupBy("id").count().where("count > 1").limit(1).collect()
@@ -73,7 +76,10 @@ def _with_ids(rows: DataFrame, table: DataFrame) -> DataFrame:
     if "id" in rows.columns and rows.where("id is not null").limit(1).count():
         raise GraphError("either all rows have an id or none")
     top = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
-    # new rows are a request's, not a corpus: one ordering of them is fine
+    if not dense:
+        # written out, as a row's number depends on where it is computed
+        return lineage.cut(rows.drop("id").withColumn("id", F.monotonically_increasing_id() + F.lit(top + 1)))
+    # rows that came as a list: one ordering of them is fine
     order = W.orderBy(F.monotonically_increasing_id())
     return rows.drop("id").withColumn("id", F.row_number().over(order) + F.lit(top))
 
@@ -90,17 +96,33 @@ def _replace(g, **tables) -> object:
 
 
 def add_nodes(g, rows) -> Change:
-    new = _scoped(g, _with_ids(_rows(g, rows, g.nodes_table, ("id",)), g.nodes_table))
+    new = _scoped(g, _with_ids(_rows(g, rows, g.nodes_table, ("id",)), g.nodes_table, not isinstance(rows, DataFrame)))
     return Change(_replace(g, nodes_table=g.nodes_table.unionByName(new, allowMissingColumns=True)), nodes=new.count())
 
 
+#: References that one query looks up.
+_TOGETHER = 500
+
+
+def _resolve_all(g, refs: Sequence[object]) -> list[int]:
+    """The node of each reference: an id, or properties that exactly one node has. One query for many of them."""
+    named: dict[str, dict] = {json.dumps(r, sort_keys=True, default=str): r for r in refs if isinstance(r, dict)}
+    out: dict[str, int] = {}
+    keys = list(named)
+    for at in range(0, len(keys), _TOGETHER):
+        part = keys[at : at + _TOGETHER]
+        hits = F.array(*(F.when(filters.compile_filter(named[k], g.node_access) if named[k] else F.lit(True), F.lit(i)) for i, k in enumerate(part)))
+        found = g.nodes.select("id", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("ref"))
+        few = {r["ref"]: r for r in found.groupBy("ref").agg(F.min("id").alias("id"), F.count("*").alias("n")).collect()}
+        for i, k in enumerate(part):
+            if i not in few or few[i]["n"] != 1:
+                raise GraphError(f"{named[k]!r} names {'no node' if i not in few else 'more than one node'}")
+            out[k] = few[i]["id"]
+    return [out[json.dumps(r, sort_keys=True, default=str)] if isinstance(r, dict) else int(r) for r in refs]
+
+
 def _resolve(g, ref: object) -> int:
-    if not isinstance(ref, dict):
-        return int(ref)
-    found = g.matching(ref).select("id").limit(2).collect()
-    if len(found) != 1:
-        raise GraphError(f"{ref!r} names {'no node' if not found else 'more than one node'}")
-    return found[0]["id"]
+    return _resolve_all(g, [ref])[0]
 
 
 def _check_ends(g, edges: DataFrame) -> None:
@@ -113,29 +135,33 @@ def _check_ends(g, edges: DataFrame) -> None:
 def add_edges(g, rows) -> Change:
     """Ends are ids, or properties that exactly one node has."""
     if not isinstance(rows, DataFrame):
-        rows = [{**r, "start_id": _resolve(g, r["start_id"]), "end_id": _resolve(g, r["end_id"])} for r in rows]
-    new = _scoped(g, _with_ids(_rows(g, rows, g.edges_table, ("id", "start_id", "end_id")), g.edges_table))
+        ends = _resolve_all(g, [r[c] for r in rows for c in ("start_id", "end_id")])
+        rows = [{**r, "start_id": s, "end_id": e} for r, s, e in zip(rows, ends[::2], ends[1::2])]
+    new = _scoped(g, _with_ids(_rows(g, rows, g.edges_table, ("id", "start_id", "end_id")), g.edges_table, not isinstance(rows, DataFrame)))
     _check_ends(g, new)
     return Change(_replace(g, edges_table=g.edges_table.unionByName(new, allowMissingColumns=True)), edges=new.count())
 
 
 def _merged(table: DataFrame, rows: DataFrame, on: Sequence[str], access, scope: Column, replace: bool) -> DataFrame:
     """Rows that are there get the new values; others stay as they are."""
+    names = [key_name(k) for k in on]
     if _is_bag(table):
-        new = rows.select(*(access.text(k).alias(f"__k{i}") for i, k in enumerate(on)), F.col("properties").alias("__new"), F.lit(True).alias("__hit"))
-        t = table.withColumns({f"__t{i}": access.text(k) for i, k in enumerate(on)})
+        ends = [c for c in ("start_id", "end_id") if c in rows.columns]
+        new = rows.select(*(key_text(access, k).alias(f"__k{i}") for i, k in enumerate(on)), F.col("properties").alias("__new"), F.lit(True).alias("__hit"), *(F.col(c).alias(f"__v_{c}") for c in ends))
+        t = table.withColumns({f"__t{i}": key_text(access, k) for i, k in enumerate(on)})
         joined = t.join(new, [scope & (t[f"__t{i}"] == new[f"__k{i}"]) for i in range(len(on))], "left")
         value = F.col("__new") if replace else merge_bags(F.col("properties"), F.col("__new"))
-        return joined.withColumn("properties", F.when(F.col("__hit"), value).otherwise(F.col("properties"))).select(*table.columns)
-    own = [c for c in rows.columns if c not in on and c != "id"]
-    new = rows.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(on)), *(F.col(c).alias(f"__v_{c}") for c in own), F.lit(True).alias("__hit"))
-    joined = table.join(new, [scope & (table[k] == new[f"__k{i}"]) for i, k in enumerate(on)], "left")
+        values = {"properties": F.when(F.col("__hit"), value).otherwise(F.col("properties"))} | {c: F.when(F.col("__hit"), F.col(f"__v_{c}")).otherwise(F.col(c)) for c in ends}
+        return joined.withColumns(values).select(*table.columns)
+    own = [c for c in rows.columns if c not in names and c != "id"]
+    new = rows.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(names)), *(F.col(c).alias(f"__v_{c}") for c in own), F.lit(True).alias("__hit"))
+    joined = table.join(new, [scope & (table[k] == new[f"__k{i}"]) for i, k in enumerate(names)], "left")
     out = []
     for c in [*table.columns, *(c for c in own if c not in table.columns)]:
         old = F.col(c) if c in table.columns else F.lit(None)
         if c in own:
             out.append(F.when(F.col("__hit"), F.col(f"__v_{c}") if replace else F.coalesce(F.col(f"__v_{c}"), old)).otherwise(old).alias(c))
-        elif replace and c not in ("id", "graph_id", "start_id", "end_id", *on) and not c.startswith("vec_"):
+        elif replace and c not in ("id", "graph_id", "start_id", "end_id", *names) and not c.startswith("vec_"):
             out.append(F.when(F.col("__hit"), F.lit(None)).otherwise(old).alias(c))
         else:
             out.append(old.alias(c))
@@ -149,23 +175,61 @@ def merge_bags(old: Column, new: Column) -> Column:
     return F.to_variant_object(F.map_concat(kept, b))
 
 
-def merge_nodes(g, rows, on: Sequence[str], replace: bool = False) -> Change:
-    """Update nodes that have the same values at ``on``, add the others; ``on`` must be a declared Unique."""
-    from graphloom.operators.constraints import Unique
-
-    if not any(isinstance(r, Unique) and set(r.keys) == set(on) and r.where is None and r.target == "nodes" for r in g.rules):
+def _merge(g, rows, on: Sequence, replace: bool, target: str) -> Change:
+    nodes = target == "nodes"
+    if not any(isinstance(r, Unique) and set(r.keys) == set(on) and r.where is None and r.target == target for r in g.rules):
         raise GraphError(f"merging on {list(on)} needs a declared Unique over exactly these keys")
-    new = _rows(g, rows, g.nodes_table, ("id",))
-    access, a = g.node_access, filters.BagAccess() if _is_bag(g.nodes_table) else filters.TypedAccess(new, ("id",))
-    if new.where(reduce(lambda x, y: x | y, (a.text(k).isNull() for k in on))).limit(1).count():
-        raise GraphError(f"every row needs a value at {list(on)}")
+    table, reserved = (g.nodes_table, ("id",)) if nodes else (g.edges_table, ("id", "start_id", "end_id"))
+    if not nodes and not isinstance(rows, DataFrame):
+        ends = _resolve_all(g, [r[c] for r in rows for c in ("start_id", "end_id")])
+        rows = [{**r, "start_id": s, "end_id": e} for r, s, e in zip(rows, ends[::2], ends[1::2])]
+    listed, new = not isinstance(rows, DataFrame), _rows(g, rows, table, reserved)
+    access = g.node_access if nodes else g.edge_access
+    a = filters.BagAccess() if _is_bag(table) else filters.TypedAccess(new, reserved)
+    keys = [f"__k{i}" for i in range(len(on))]
+    keyed = new.withColumns({c: key_text(a, k) for c, k in zip(keys, on)})
+    fault = keyed.groupBy(*keys).agg(F.count("*").alias("n")).where(reduce(lambda x, y: x | y, (F.col(c).isNull() for c in keys)) | (F.col("n") > 1)).limit(1).collect()
+    if fault:
+        raise GraphError(f"every row needs a value at {[key_name(k) for k in on]}" if None in fault[0] else f"two rows have the same values at {[key_name(k) for k in on]}")
+    if not nodes:
+        _check_ends(g, new)
     scope = (F.col(g.graph_col) == g.name) if g.graph_col else F.lit(True)
-    there = g.nodes.select(*(access.text(k).alias(f"__k{i}") for i, k in enumerate(on)))
-    fresh = new.withColumns({f"__k{i}": a.text(k) for i, k in enumerate(on)}).join(there, [f"__k{i}" for i in range(len(on))], "left_anti").drop(*(f"__k{i}" for i in range(len(on))))
+    there = (g.nodes if nodes else g.edges).select(*(key_text(access, k).alias(c) for c, k in zip(keys, on)))
+    fresh = keyed.join(there, keys, "left_anti").drop(*keys)
+    if Col("id") not in on:
+        fresh = fresh.drop("id")
     several = new.count()
-    merged = dataclasses.replace(g, nodes_table=_merged(g.nodes_table, new, on, access, scope, replace), rules=[])
-    out = add_nodes(merged, fresh.drop("id")).graph
-    return Change(_replace(out, rules=g.rules), nodes=several)
+    merged = _merged(table, new, on, access, scope, replace)
+    added = _scoped(g, _with_ids(fresh, table, listed))
+    out = dataclasses.replace(g, **{f"{target}_table": merged.unionByName(added, allowMissingColumns=True)})
+    return Change(_replace(out), **{target: several})
+
+
+def merge_nodes(g, rows, on: Sequence, replace: bool = False) -> Change:
+    """Update nodes that have the same values at ``on``, add the others; ``on`` must be a declared Unique."""
+    return _merge(g, rows, on, replace, "nodes")
+
+
+def merge_edges(g, rows, on: Sequence, replace: bool = False) -> Change:
+    """Likewise for edges; their ends, ids or properties as in ``add_edges``, can be among the keys as ``Col``."""
+    return _merge(g, rows, on, replace, "edges")
+
+
+def ingest(g, spec: dict, merge_nodes_on: Sequence | None = None, merge_edges_on: Sequence | None = None) -> Change:
+    """{"nodes": [...], "edges": [...]}: the nodes first, all or nothing; merged where keys to merge on are given."""
+    if not isinstance(spec, dict) or set(spec) - {"nodes", "edges"}:
+        raise GraphError("an ingest has nodes and edges")
+    done = Change(g)
+    for rows, on, add, merge in ((spec.get("nodes"), merge_nodes_on, add_nodes, merge_nodes), (spec.get("edges"), merge_edges_on, add_edges, merge_edges)):
+        if rows:
+            new = add(done.graph, rows) if on is None else merge(done.graph, rows, on_keys(on))
+            done = Change(new.graph, done.nodes + new.nodes, done.edges + new.edges)
+    return done
+
+
+def on_keys(on: Sequence) -> list:
+    """Keys as they come in JSON: the names of columns mean the columns."""
+    return [Col(k) if k in COLUMNS else k for k in on]
 
 
 def _need_filter(where, ids, all_rows: bool, *more) -> None:
@@ -272,7 +336,7 @@ def clear(g) -> Change:
     return Change(_replace(g, nodes_table=g.nodes_table.where(none), edges_table=g.edges_table.where(none)), n, e)
 
 
-_OPERATIONS = {f.__name__: f for f in (add_nodes, add_edges, merge_nodes, delete_nodes, delete_edges, update_nodes, update_edges, repoint_edge, clear)}
+_OPERATIONS = {f.__name__: f for f in (add_nodes, add_edges, merge_nodes, merge_edges, delete_nodes, delete_edges, update_nodes, update_edges, repoint_edge, clear)}
 
 
 def mutate(g, spec: dict) -> Change:
@@ -288,6 +352,8 @@ def mutate(g, spec: dict) -> Change:
         for k in ("where", "start", "end"):
             if k in args:
                 args[k] = filters.parse_filter(args[k])
+        if "on" in args:
+            args["on"] = on_keys(args["on"])
         try:
             done = _OPERATIONS[name](total.graph, **args)
         except TypeError as e:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
@@ -94,16 +95,89 @@ class GraphSchema:
             lines += [f"  class {n.name} {{", *(f"    {'|'.join(p.json_types)} {p.name}" for p in n.properties), "  }"]
         return "\n".join([*lines, *(f"  {e.source} --> {e.target} : {e.name}" for e in self.edges)])
 
+    def networkx(self):
+        """As a networkx graph of types."""
+        import networkx
+
+        out = networkx.MultiDiGraph()
+        for n in self.nodes:
+            out.add_node(n.name, properties={p.name: list(p.json_types) for p in n.properties})
+        for e in self.edges:
+            out.add_edge(e.source, e.target, key=e.name, properties={p.name: list(p.json_types) for p in e.properties})
+        return out
+
+    def prompt(self, most: int = 12) -> str:
+        """As text for a language model: a line for each type, with ``most`` of its properties."""
+
+        def listed(props: tuple[Property, ...]) -> str:
+            shown = [f"{p.name}: {'|'.join(p.json_types)}{'' if p.required else '?'}" for p in props[:most]]
+            return "{" + ", ".join([*shown, *([f"{len(props) - most} more"] if len(props) > most else [])]) + "}"
+
+        return "\n".join([*(f"({n.name} {listed(n.properties)})" for n in self.nodes), *(f"({e.source})-[{e.name} {listed(e.properties)}]->({e.target})" for e in self.edges)])
+
     def document(self) -> str:
         return json.dumps(asdict(self))
 
     @classmethod
     def from_document(cls, text: str) -> GraphSchema:
-        d = json.loads(text)
+        """A schema that was saved; a document of another form is refused."""
+        try:
+            d = json.loads(text)
+            if set(d) != {"nodes", "edges"} or any(set(n) != {"name", "properties"} for n in d["nodes"]) or any(set(e) != {"name", "source", "target", "properties"} for e in d["edges"]):
+                raise GraphError("a schema has nodes of name and properties, and edges of name, source, target and properties")
+            if not all(isinstance(x, str) and x for n in [*d["nodes"], *d["edges"]] for k, x in n.items() if k != "properties"):
+                raise GraphError("names are texts")
+            return cls._of(d)
+        except (ValueError, TypeError, KeyError, AttributeError) as e:
+            raise GraphError(f"this isn't a schema: {e}") from e
+
+    @classmethod
+    def _of(cls, d: dict) -> GraphSchema:
         props = lambda x: tuple(Property(p["name"], tuple(p["json_types"]), p["required"], p["unique"], tuple(p["values"]) if p["values"] else None) for p in x)
         return cls(tuple(NodeType(n["name"], props(n["properties"])) for n in d["nodes"]), tuple(EdgeType(e["name"], e["source"], e["target"], props(e["properties"])) for e in d["edges"]))
 
 
+class Endpoints(constraints.Rule):
+    """Edges of a declared kind run between types that it is declared for."""
+
+    target, where = "edges", None
+
+    def __init__(self, schema: GraphSchema):
+        self.schema = schema
+
+    def __repr__(self):
+        return "Endpoints"
+
+    def violations(self, g) -> DataFrame:
+        return endpoint_violations(g, self.schema)
+
+
+def define_schema(g, schema: GraphSchema | None):
+    """``g`` with a schema on record; nothing is checked."""
+    return dataclasses.replace(g, schema=schema)
+
+
+def schema_rules(schema: GraphSchema, endpoints: bool = False) -> list[constraints.Rule]:
+    """What ``enforce_schema`` would declare."""
+    out = [*schema.rules(), *([Endpoints(schema)] if endpoints else [])]
+    for r in out:
+        r.of_schema = True
+    return out
+
+
+def enforce_schema(g, schema: GraphSchema | None = None, endpoints: bool = False):
+    """``g`` with the rules of its schema, or of one given, checked on its rows and on every write from now on.
+
+    Rules of a schema that was enforced before go; those declared otherwise stay. Refused if rows break a rule.
+    """
+    schema = schema or g.schema
+    if schema is None:
+        raise GraphError("there is no schema to enforce")
+    own = [r for r in g.rules if not getattr(r, "of_schema", False)]
+    out = constraints.define(dataclasses.replace(g, rules=own), schema_rules(schema, endpoints))
+    return dataclasses.replace(out, schema=schema)
+
+
 def property_counts(rows: DataFrame, access, discriminator: str) -> DataFrame:
     """(type, key, json_type, n, total): in how many of the type's rows a key has a value of a type; one pass and one shuffle."""
     kind = access.text(discriminator)

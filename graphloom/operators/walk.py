@@ -15,10 +15,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.errors import GraphError
 from graphloom.operators import lineage
 
 
@@ -41,10 +40,22 @@ def single(anchors: DataFrame, edges: DataFrame, targets: DataFrame | None) -> W
     return Walked(taken.select(F.col("to_id").alias("id")).distinct(), taken)
 
 
+#: Bits of a long that are used.
+WORD = 62
+
+
 def _bits(frames: list[DataFrame]) -> DataFrame:
-    """(to_id, bits) of frames (id): bit k where the node is in frame k."""
-    marked = [f.select(F.col("id").alias("to_id"), F.lit(1 << k).cast("long").alias("bit")) for k, f in enumerate(frames)]
-    return reduce(DataFrame.unionByName, marked).groupBy("to_id").agg(F.bit_or("bit").alias("bits"))
+    """(to_id, word, bits) of frames (id): bit k of all words where the node is in frame k."""
+    marked = [f.select(F.col("id").alias("to_id"), F.lit(k // WORD).alias("word"), F.lit(1 << k % WORD).cast("long").alias("bit")) for k, f in enumerate(frames)]
+    return reduce(DataFrame.unionByName, marked).groupBy("to_id", "word").agg(F.bit_or("bit").alias("bits"))
+
+
+def _any_of(lengths: range) -> Column:
+    """Whether a row of ``_bits`` has one of these bits."""
+    words: dict[int, int] = {}
+    for k in lengths:
+        words[k // WORD] = words.get(k // WORD, 0) | 1 << k % WORD
+    return reduce(Column.__or__, ((F.col("word") == w) & (F.col("bits").bitwiseAND(F.lit(bits)) != 0) for w, bits in words.items()), F.lit(False))
 
 
 def layered(anchors: DataFrame, edges: DataFrame, targets: DataFrame | None, low: int, high: int, want_edges: bool = True) -> Walked:
@@ -71,8 +82,7 @@ def layered(anchors: DataFrame, edges: DataFrame, targets: DataFrame | None, low
     behind = _bits(back)
     fitting = []
     for d, t in enumerate(taken):
-        lengths = sum(1 << k for k in range(max(0, low - d - 1), high - d))
-        fitting.append(t.join(behind.where(F.col("bits").bitwiseAND(F.lit(lengths)) != 0).select("to_id"), "to_id", "left_semi"))
+        fitting.append(t.join(behind.where(_any_of(range(max(0, low - d - 1), high - d))).select("to_id"), "to_id", "left_semi"))
     return Walked(match, reduce(DataFrame.unionByName, fitting).dropDuplicates(["id"]))
 
 
@@ -85,6 +95,8 @@ def enumerated(anchors: DataFrame, edges: DataFrame, targets: DataFrame | None,
     first = anchors.select("id").distinct().select(F.col("id").alias("at")).join(step, "at")
     walks = [first.select(F.col("next").alias("to_id"), F.array("at", "next").alias("path"), F.array("id").alias("edge_ids"))]
     for _ in range(high - 1):
+        # each depth is written out, so that none is walked again for those after it
+        walks[-1] = lineage.cut(walks[-1])
         w = walks[-1].withColumnRenamed("to_id", "at").join(step, "at").where(~F.array_contains("path", F.col("next")))
         walks.append(w.select(F.col("next").alias("to_id"), F.array_append("path", F.col("next")).alias("path"), F.array_append("edge_ids", F.col("id")).alias("edge_ids")))
     landed = _land(reduce(DataFrame.unionByName, walks[low - 1 :]), targets)
@@ -100,8 +112,6 @@ def is_acyclic(edges: DataFrame) -> bool:
 
 def walk(anchors: DataFrame, edges: DataFrame, targets: DataFrame | None, low: int, high: int, acyclic: bool | None, want_edges: bool = True) -> Walked:
     """The cheapest exact way. ``acyclic``: known of the edges, or None to look at their ids."""
-    if high > 62:
-        raise GraphError("a hop can take at most 62 edges")
     if high == 1:
         return single(anchors, edges, targets)
     if acyclic is None:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from graphloom.errors import GraphError
 
@@ -16,21 +17,31 @@ def _flag(value: object, name: str) -> None:
 
 @dataclass(frozen=True)
 class Near:
-    """Closeness of one vector field to a query vector, by cosine."""
+    """Closeness of one vector field to a query vector, by cosine; or to what the field's embedder makes of a text."""
 
     field: str
-    query: Sequence[float]
+    query: Sequence[float] | None = None
     weight: float = 1.0
     min_similarity: float | None = None
     missing: str = "exclude"
+    text: str | None = None
+
+    def of(self, query: Sequence[float]) -> Near:
+        return replace(self, query=query, text=None)
 
     def __post_init__(self):
-        if isinstance(self.query, str) or not len(self.query):
+        if (self.query is None) == (self.text is None):
+            raise GraphError("give a query vector or a text")
+        if self.text is not None and (not isinstance(self.text, str) or not self.text.strip()):
+            raise GraphError("text must be a text that isn't blank")
+        if self.text is not None and re.fullmatch(r"\s*\[[\d\s,.eE+-]*\]\s*", self.text):
+            raise GraphError("this text looks like a vector: give it as query, a list of numbers")
+        if self.query is not None and (isinstance(self.query, str) or not len(self.query)):
             raise GraphError("query must be a vector of numbers")
-        values = [float(x) for x in self.query]
+        values = [float(x) for x in (() if self.query is None else self.query)]
         if not all(map(math.isfinite, values)):
             raise GraphError("a query vector can't hold NaN or infinity")
-        if not any(values):
+        if self.query is not None and not any(values):
             raise GraphError("a query vector of zeros has no direction")
         if not self.weight or not math.isfinite(self.weight):
             raise GraphError("weight must be a finite number other than 0")
@@ -38,7 +49,7 @@ class Near:
             raise GraphError("min_similarity lies between -1 and 1")
         if self.missing not in ("exclude", "zero"):
             raise GraphError("missing is 'exclude' or 'zero'")
-        object.__setattr__(self, "query", tuple(values))
+        object.__setattr__(self, "query", tuple(values) if self.query is not None else None)
 
 
 @dataclass(frozen=True)

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.errors import ConstraintViolation
 from graphloom.functions.filters import AND, BETWEEN, GT, GTE, LT, LTE, NOT, OR, HasKey
-from graphloom.operators import constraints, mutate, schema
+from graphloom.graph import PropertyGraph
+from graphloom.operators import constraints, lineage, mutate, schema, vectors
 from graphloom.operators.aggregates import Avg, Count, Max, Min, Sum
+from graphloom.operators.rerank import Rerank
+from graphloom.plans import json_spec
 from graphloom.plans.specs import Boost, Hop, Near, Start
-from graphloom.sources import tables
+from graphloom.sources import registry, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,12 +105,13 @@ def _(spark, d):
 
 
 _CHAIN = (Start(where={"type": "customer", "c_mktsegment": "MACHINERY"}), Hop(via="placed", where={"o_orderstatus": "F"}), Hop(via="contains", where=AND({"type": "part"}, LTE("p_size", 10))), Hop(via="supplied_by"))
-_CHAIN_SQL = f"""WITH {EDGES},
-h1 AS (SELECT e.* FROM edges e JOIN customer ON s = c_custkey * 16 + 3 JOIN orders ON t = o_orderkey * 16 + 6
-  WHERE kind = 'placed' AND c_mktsegment = 'MACHINERY' AND o_orderstatus = 'F'),
-h2 AS (SELECT e.* FROM edges e JOIN part ON t = p_partkey * 16 + 5 WHERE kind = 'contains' AND p_size <= 10 AND s IN (SELECT t FROM h1)),
-h3 AS (SELECT * FROM edges WHERE kind = 'supplied_by' AND s IN (SELECT t FROM h2)),
-r AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3)"""
+_CHAIN_SQL = """WITH h1 AS (SELECT o_orderkey * 16 + 4 AS id, c_custkey * 16 + 3 AS s, o_orderkey * 16 + 6 AS t, o_orderkey AS o
+  FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'MACHINERY' AND o_orderstatus = 'F'),
+h2 AS (SELECT DISTINCT ((l_orderkey * 8 + l_linenumber) * 16777216 + l_partkey) * 16 + 5 AS id, l_orderkey * 16 + 6 AS s, l_partkey * 16 + 5 AS t, l_partkey AS p
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN h1 ON l_orderkey = o WHERE p_size <= 10),
+h3 AS (SELECT DISTINCT (l_partkey * 16777216 + l_suppkey) * 16 + 6 AS id, l_partkey * 16 + 5 AS s, l_suppkey * 16 + 4 AS t
+  FROM lineitem JOIN (SELECT DISTINCT p FROM h2) ON l_partkey = p),
+r AS (SELECT id, s, t FROM h1 UNION ALL SELECT id, s, t FROM h2 UNION ALL SELECT id, s, t FROM h3)"""
 
 
 @query("g_chain_edges", _CHAIN_SQL + " SELECT id, s AS start_id, t AS end_id FROM r")
@@ -135,24 +141,22 @@ def _recursive(edges: str, seed: str, low: int, high: int, match: str, out: str)
 ), landed AS (SELECT * FROM w WHERE d >= {low} AND t IN ({match})) {out}"""
 
 
-_RANGE_SEED = "SELECT c_custkey * 16 + 3 AS id FROM customer WHERE c_custkey <= 20"
-_RANGE = (Start(where=AND({"type": "customer"}, LTE("c_custkey", 20))), Hop(hops=(1, 3), where={"type": "part"}))
+_ALL_SEED, _ALL = "SELECT c_custkey * 16 + 3 AS id FROM customer", Start(where={"type": "customer"})
 
 
-@query("g_walk_range_edges", _recursive(EDGES, _RANGE_SEED, 1, 3, "SELECT p_partkey * 16 + 5 FROM part", "SELECT DISTINCT unnest(es) AS id FROM landed"))
+@query("g_walk_range_edges", _recursive(EDGES, _ALL_SEED, 1, 3, "SELECT p_partkey * 16 + 5 FROM part", "SELECT DISTINCT unnest(es) AS id FROM landed"))
 def _(spark, d):
-    return tables.order_graph(spark, d).traverse(*_RANGE).edges.select("id")
+    return tables.order_graph(spark, d).traverse(_ALL, Hop(hops=(1, 3), where={"type": "part"})).edges.select("id")
 
 
-@query("g_walk_exact", _recursive(EDGES, _RANGE_SEED, 4, 4, "SELECT CAST(n_nationkey AS BIGINT) * 16 + 2 FROM nation UNION ALL SELECT s_suppkey * 16 + 4 FROM supplier", "SELECT DISTINCT unnest(es) AS id FROM landed"))
+@query("g_walk_exact", _recursive(EDGES, _ALL_SEED, 4, 4, "SELECT CAST(n_nationkey AS BIGINT) * 16 + 2 FROM nation UNION ALL SELECT s_suppkey * 16 + 4 FROM supplier", "SELECT DISTINCT unnest(es) AS id FROM landed"))
 def _(spark, d):
-    return tables.order_graph(spark, d).traverse(_RANGE[0], Hop(hops=4, where={"type": ["nation", "supplier"]})).edges.select("id")
+    return tables.order_graph(spark, d).traverse(_ALL, Hop(hops=4, where={"type": ["nation", "supplier"]})).edges.select("id")
 
 
 _RING = """edges AS (SELECT c_custkey * 16 + step + 6 AS id, c_custkey AS s, ((c_custkey + step - 1) % n + n) % n + 1 AS t
   FROM customer, (SELECT max(c_custkey) AS n FROM customer), (SELECT unnest([1, 7, -6]) AS step))"""
-_RING_SEED = "SELECT c_custkey AS id FROM customer WHERE c_custkey % 100 = 1"
-_RING_START = Start(where=lambda a: a.raw("c_nationkey").isNotNull() & (F.col("id") % 100 == 1))
+_RING_SEED, _RING_START = "SELECT c_custkey AS id FROM customer", Start(where=lambda a: a.raw("c_nationkey").isNotNull())
 
 
 @query("g_walk_cycles_edges", _recursive(_RING, _RING_SEED, 2, 4, "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'", "SELECT DISTINCT unnest(es) AS id FROM landed"))
@@ -165,30 +169,10 @@ def _(spark, d):
     return tables.ring_graph(spark, d).aggregate(_RING_START, Hop(hops=(1, 5)), aggregates={"n": Count()})
 
 
-# the walks from above, from every node of a kind
-
-_ALL_SEED, _ALL = "SELECT c_custkey * 16 + 3 AS id FROM customer", Start(where={"type": "customer"})
-_RING_ALL_SEED, _RING_ALL = "SELECT c_custkey AS id FROM customer", Start(where=lambda a: a.raw("c_nationkey").isNotNull())
-
-
-@query("g_walk_range_edges_all", _recursive(EDGES, _ALL_SEED, 1, 3, "SELECT p_partkey * 16 + 5 FROM part", "SELECT DISTINCT unnest(es) AS id FROM landed"))
+@query("g_walk_all_edges", f"""WITH {EDGES}, big AS (SELECT * FROM edges WHERE q > 30 AND kind = 'contains')
+SELECT id, s AS start_id, t AS end_id FROM big WHERE s IN (SELECT o_orderkey * 16 + 6 FROM orders)""")
 def _(spark, d):
-    return tables.order_graph(spark, d).traverse(_ALL, _RANGE[1]).edges.select("id")
-
-
-@query("g_walk_exact_all", _recursive(EDGES, _ALL_SEED, 4, 4, "SELECT CAST(n_nationkey AS BIGINT) * 16 + 2 FROM nation UNION ALL SELECT s_suppkey * 16 + 4 FROM supplier", "SELECT DISTINCT unnest(es) AS id FROM landed"))
-def _(spark, d):
-    return tables.order_graph(spark, d).traverse(_ALL, Hop(hops=4, where={"type": ["nation", "supplier"]})).edges.select("id")
-
-
-@query("g_walk_cycles_edges_all", _recursive(_RING, _RING_ALL_SEED, 2, 4, "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'", "SELECT DISTINCT unnest(es) AS id FROM landed"))
-def _(spark, d):
-    return tables.ring_graph(spark, d).traverse(_RING_ALL, Hop(hops=(2, 4), where={"c_mktsegment": "BUILDING"})).edges.select("id")
-
-
-@query("g_walk_cycles_count_all", _recursive(_RING, _RING_ALL_SEED, 1, 5, "SELECT c_custkey FROM customer", "SELECT count(DISTINCT t) AS n FROM landed"))
-def _(spark, d):
-    return tables.ring_graph(spark, d).aggregate(_RING_ALL, Hop(hops=(1, 5)), aggregates={"n": Count()})
+    return tables.order_graph(spark, d).cypher("MATCH p = (o:order)-[:contains*1..2]->(x:part) WHERE all(r IN relationships(p) WHERE r.l_quantity > 30) RETURN x").edges.select("id", "start_id", "end_id")
 
 
 _AGG = {"n": Count(), "named": Count("o_orderpriority"), "priorities": Count("o_orderpriority", distinct=True), "total": Sum("o_totalprice"), "mean": Avg("o_totalprice"), "low": Min("o_totalprice"), "high": Max("o_totalprice")}
@@ -247,12 +231,7 @@ def _(spark, d):
     return g.aggregate(Start(where={"type": "event"}), aggregates={"n": Count(), "total": Sum("k"), "mean": Avg("value")}, group_by="event_type").withColumn("mean", F.round("mean", 6))
 
 
-@query("g_bag_traverse", "SELECT event_id * 16 + 7 AS id FROM events WHERE user_id < 10 AND event_type = 'view'")
-def _(spark, d):
-    return tables.event_bags(spark, d).traverse(Start(where=AND({"type": "user"}, LT("user_id", 10))), Hop(via="performed", where={"event_type": "view"})).edges.select("id")
-
-
-@query("g_bag_traverse_all", "SELECT event_id * 16 + 7 AS id FROM events WHERE event_type = 'view'")
+@query("g_bag_traverse", "SELECT event_id * 16 + 7 AS id FROM events WHERE event_type = 'view'")
 def _(spark, d):
     return tables.event_bags(spark, d).traverse(Start(where={"type": "user"}), Hop(via="performed", where={"event_type": "view"})).edges.select("id")
 
@@ -319,14 +298,81 @@ def _(spark, d):
     return tables.vector_graph(spark, d).traverse(Start(where={"label": 1}), Hop(via_near=Near("emb", _Q), via_keep=1)).edges.select("id")
 
 
+@query("g_vector_scores", f"""WITH c AS (SELECT vec_id, {_SIM} AS sim, label FROM embeddings)
+SELECT vec_id AS id, round(sim + 0.01 * label, 6) AS similarity, round(sim, 6) AS emb, round(0.01 * label, 6) AS boost FROM c ORDER BY sim + 0.01 * label DESC, vec_id LIMIT 20""")
+def _(spark, d):
+    hits = tables.vector_graph(spark, d).vector_search(Near("emb", _Q), k=20, boost=Boost("label", 0.01, scale="raw"))
+    return hits.select("id", F.round("similarity", 6).alias("similarity"), F.round(F.col("similarities")["emb"], 6).alias("emb"), F.round(F.col("boosts")["label"], 6).alias("boost"))
+
+
+def _two_fields(spark, d):
+    """Embeddings with a second field, the first half of each vector turned round; every third one lacks it."""
+    g = vectors.define_vectors(tables.vector_graph(spark, d), nodes=[vectors.Vector("emb", 64), vectors.Vector("half", 32, embed=_embed)], migrate=True)
+    half = F.when(F.col("id") % 3 != 0, F.transform(F.slice("vec_emb", 1, 32), lambda x: -x))
+    return vectors.set_vectors(g, nodes=g.nodes.select("id", half.alias("half"))).graph
+
+
+def _embed(texts):
+    return [[float(len(t) + i % 5) for i in range(32)] for t in texts]
+
+
+_HALF = "CASE WHEN vec_id % 3 <> 0 THEN list_transform(embedding[1:32]::DOUBLE[], lambda x: -x) END"
+_TEXT = "[" + ", ".join(map(str, _embed(["a query"])[0])) + "]::DOUBLE[]"
+
+
+@query("g_vector_fields", f"""WITH c AS (SELECT vec_id, {_SIM} + 0.5 * coalesce(list_cosine_similarity({_HALF}, {_TEXT}), 0) AS s FROM embeddings)
+SELECT vec_id AS id, round(s, 6) AS similarity FROM c ORDER BY s DESC, vec_id LIMIT 25""")
+def _(spark, d):
+    return _hits(_two_fields(spark, d).vector_search(Near("emb", _Q), Near("half", text="a query", weight=0.5, missing="zero"), k=25))
+
+
+@query("g_set_vectors", f"SELECT vec_id AS id, round(list_cosine_similarity({_HALF}, {_TEXT}), 6) AS similarity FROM embeddings WHERE vec_id % 3 <> 0")
+def _(spark, d):
+    return _hits(_two_fields(spark, d).vector_search(Near("half", text="a query", min_similarity=-1.0), k=None))
+
+
+@query("g_drop_vectors", "SELECT vec_id AS id, 'missing' AS problem FROM embeddings")
+def _(spark, d):
+    return vectors.drop_vectors(_two_fields(spark, d), "half").stale_vectors("half", 32)
+
+
+@query("g_load_vectors", "SELECT 'emb' AS name, 64 AS dimensions UNION ALL SELECT 'half', 32")
+def _(spark, d):
+    g = vectors.load_vectors(dataclasses.replace(_two_fields(spark, d), vectors={}))
+    return spark.createDataFrame([(v.name, v.dimensions) for v in g.vectors["nodes"].values()], "name string, dimensions int")
+
+
+# a reranker that only counts, so that SQL can follow it
+
+
+def _lengths(question, documents):
+    return [float(len(x)) for x in documents]
+
+
+@query("g_rerank_filter", f"""WITH c AS (SELECT vec_id, label, {_SIM} AS sim FROM embeddings ORDER BY {_SIM} DESC, vec_id LIMIT 40)
+SELECT vec_id AS id, length('vector ' || vec_id || ' of ' || label)::DOUBLE AS rerank_score FROM c ORDER BY 2 DESC, CAST(vec_id AS VARCHAR) LIMIT 10""")
+def _(spark, d):
+    r = Rerank(_lengths, "q", '"vector \\(.id) of \\(.properties.label)"', candidates=40, fields=("id", "properties.label"))
+    return tables.vector_graph(spark, d).vector_search(Near("emb", _Q), k=10, rerank=r).select("id", "rerank_score")
+
+
+@query("g_rerank_paths", """WITH e AS (SELECT vec_id AS s, vec_id + step AS t FROM embeddings, (SELECT unnest([1, 2]) AS step) WHERE label = 1 AND vec_id + step <= (SELECT max(vec_id) FROM embeddings)),
+c AS (SELECT DISTINCT t FROM e ORDER BY t LIMIT 30), p AS (SELECT t, length(string_agg(CAST(s AS VARCHAR), ' ')) AS n FROM e WHERE t IN (SELECT t FROM c) GROUP BY t),
+m AS (SELECT t FROM p ORDER BY n DESC, CAST(t AS VARCHAR) LIMIT 6)
+SELECT s * 4 + t - s AS id FROM e WHERE t IN (SELECT t FROM m)""")
+def _(spark, d):
+    r = Rerank(_lengths, "q", '[.paths[] | .[0].id] | join(" ")', candidates=30)
+    return tables.vector_graph(spark, d).traverse(Start(where={"label": 1}), Hop(keep=6, rerank=r)).edges.select("id")
+
+
 # writes give new graphs
 
 
 @query("g_delete_detach", f"""WITH {EDGES}, gone AS (SELECT c_custkey * 16 + 3 AS id FROM customer WHERE c_mktsegment = 'BUILDING')
-SELECT kind, count(*) AS n FROM edges WHERE s NOT IN (SELECT id FROM gone) AND t NOT IN (SELECT id FROM gone) AND kind IN ('placed', 'in_nation') GROUP BY kind""")
+SELECT kind, count(*) AS n FROM edges WHERE s NOT IN (SELECT id FROM gone) AND t NOT IN (SELECT id FROM gone) GROUP BY kind""")
 def _(spark, d):
     g = mutate.delete_nodes(tables.order_graph(spark, d), BUILDING, detach=True).graph
-    return g.edges.where(F.col("kind").isin("placed", "in_nation")).groupBy("kind").agg(F.count("*").alias("n"))
+    return g.edges.groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("g_update", "SELECT CASE WHEN c_acctbal > 9000 THEN 'RICH' ELSE c_mktsegment END AS c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
@@ -352,6 +398,77 @@ def _(spark, d):
     return g.matching({"type": "nation"}).select("n_name", "n_regionkey")
 
 
+@query("g_merge_edges", """WITH old AS (SELECT o_orderkey * 16 + 4 AS id, o_custkey * 16 + 3 AS s, o_orderkey * 16 + 6 AS t FROM orders),
+new AS (SELECT o_custkey * 16 + 3 AS s, o_orderkey * 16 + 6 AS t, o_totalprice AS weight FROM orders WHERE o_orderstatus = 'F'
+  UNION ALL SELECT c_custkey * 16 + 3, CAST(c_nationkey AS BIGINT) * 16 + 2, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING'),
+both AS (SELECT coalesce(old.s, new.s) AS s, coalesce(old.t, new.t) AS t, weight FROM old FULL JOIN new ON old.s = new.s AND old.t = new.t)
+SELECT s AS start_id, t AS end_id, weight FROM both""")
+def _(spark, d):
+    g = tables.order_graph(spark, d)
+    g = dataclasses.replace(g, edges_table=g.matching_edges("placed"))
+    keys = [constraints.Col("start_id"), constraints.Col("end_id")]
+    g = constraints.define(g, [constraints.Unique(*keys, target="edges")])
+    o, c = tables.read(spark, d, "orders"), tables.read(spark, d, "customer")
+    new = o.where("o_orderstatus = 'F'").select(tables.node_id("o_custkey", tables.CUSTOMER).alias("start_id"), tables.node_id("o_orderkey", tables.ORDER).alias("end_id"), F.lit("placed").alias("kind"), F.col("o_totalprice").alias("weight"))
+    new = new.union(c.where("c_mktsegment = 'BUILDING'").select(tables.node_id("c_custkey", tables.CUSTOMER), tables.node_id("c_nationkey", tables.NATION), F.lit("likes"), "c_acctbal"))
+    return mutate.merge_edges(g, new, keys).graph.edges.select("start_id", "end_id", "weight")
+
+
+@query("g_cypher_merge", """SELECT CAST(n_nationkey AS BIGINT) * 16 + 2 AS start_id, CAST(n_regionkey AS BIGINT) * 16 + 1 AS end_id, 'in_region' AS kind,
+  CASE WHEN n_name = (SELECT min(n_name) FROM nation) THEN 'again' END AS mark FROM nation
+UNION ALL SELECT CAST((SELECT n_nationkey FROM nation ORDER BY n_name LIMIT 1) AS BIGINT) * 16 + 2, CAST((SELECT n_nationkey FROM nation ORDER BY n_name DESC LIMIT 1) AS BIGINT) * 16 + 2, 'trades', 'new'""")
+def _(spark, d):
+    n = tables.read(spark, d, "nation")
+    first, last = n.orderBy("n_name").first(), n.orderBy(F.desc("n_name")).first()
+    g = tables.order_graph(spark, d)
+    g = dataclasses.replace(g, edges_table=g.matching_edges("in_region"))
+    match = f"MATCH (a:nation {{n_name: '{first['n_name']}'}}) MATCH (a)-[:in_region]->(b:region {{r_regionkey: {first['n_regionkey']}}})"
+    g = g.cypher(f"{match} MERGE (a)-[r:in_region]->(b) ON CREATE SET r.mark = 'new' ON MATCH SET r.mark = 'again'").graph
+    g = g.cypher(f"MERGE (a:nation {{n_name: '{first['n_name']}'}}) MERGE (b:nation {{n_name: '{last['n_name']}'}}) MERGE (a)-[r:trades]->(b) ON CREATE SET r.mark = 'new'").graph
+    return g.edges.select("start_id", "end_id", "kind", "mark")
+
+
+@query("g_enforced_schema", "SELECT c_custkey * 16 + 3 AS id FROM customer WHERE c_acctbal >= 0")
+def _(spark, d):
+    g = tables.order_graph(spark, d)
+    g = dataclasses.replace(g, nodes_table=g.matching(AND({"type": "customer"}, GTE("c_acctbal", 0))), edges_table=g.edges_table.limit(0))
+    s = schema.GraphSchema((schema.NodeType("customer", (schema.Property("c_name", required=True, unique=True), schema.Property("c_acctbal", ("number",), required=True))),))
+    g = schema.enforce_schema(g, s)
+    try:
+        mutate.add_nodes(g, [{"id": 1, "type": "customer", "c_acctbal": 5.0}])
+    except ConstraintViolation:
+        return g.nodes.select("id")
+    return g.nodes.select("id").limit(0)
+
+
+@query("g_registry", "SELECT 'orders' AS name, 'of customers' AS description, 'sales' AS owner")
+def _(spark, d):
+    r = registry.Registry(spark, lineage.temporary(spark, "registry"))
+    r.create_graph("orders", "first", owner="nobody")
+    r.create_graph("orders", "of customers", owner="sales")
+    return spark.createDataFrame([r.graph_info("orders")]).select("name", "description", "owner")
+
+
+@query("g_csv", "SELECT c_custkey AS id, c_name, o_orderkey AS order_id FROM customer JOIN orders ON o_custkey = c_custkey")
+def _(spark, d):
+    path = lineage.temporary(spark, "csv")
+    tables.read(spark, d, "customer").select("c_custkey", "c_name").write.csv(f"{path}/nodes", header=True)
+    tables.read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderkey").toDF("id", "start_id", "end_id").write.csv(f"{path}/edges", header=True)
+    n, e = registry.from_csv(spark, f"{path}/nodes", f"{path}/edges", "id bigint, c_name string", "id bigint, start_id bigint, end_id bigint")
+    found = PropertyGraph.create(n, e, acyclic=True)
+    return found.edges.join(found.nodes.withColumnRenamed("id", "start_id"), "start_id").select(F.col("start_id").alias("id"), "c_name", F.col("id").alias("order_id"))
+
+
+@query("g_violations_required", "SELECT s_suppkey * 16 + 4 AS id FROM supplier UNION ALL SELECT p_partkey * 16 + 5 FROM part")
+def _(spark, d):
+    return constraints.Required("c_name", where={"type": ["customer", "supplier", "part"]}).violations(tables.order_graph(spark, d))
+
+
+@query("g_violations_type", f"SELECT id FROM {_BAG} WHERE k IS NOT NULL")
+def _(spark, d):
+    return constraints.PropertyType("k", "string", where={"type": "event"}).violations(tables.event_bags(spark, d))
+
+
 @query("g_violations_unique", "SELECT c_custkey * 16 + 3 AS id FROM customer WHERE c_nationkey IN (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) > 1)")
 def _(spark, d):
     return constraints.Unique("c_nationkey").violations(tables.order_graph(spark, d))
@@ -403,3 +520,16 @@ def _(spark, d):
 @query("g_export", "SELECT id FROM (SELECT CAST(r_regionkey AS BIGINT) * 16 + 1 AS id FROM region UNION ALL SELECT CAST(n_nationkey AS BIGINT) * 16 + 2 FROM nation UNION ALL SELECT c_custkey * 16 + 3 FROM customer UNION ALL SELECT s_suppkey * 16 + 4 FROM supplier UNION ALL SELECT p_partkey * 16 + 5 FROM part UNION ALL SELECT o_orderkey * 16 + 6 FROM orders UNION ALL SELECT DISTINCT user_id * 16 + 7 FROM events UNION ALL SELECT event_id * 16 + 8 FROM events) ORDER BY id LIMIT 100")
 def _(spark, d):
     return tables.order_graph(spark, d).export(100).nodes.select("id")
+
+
+@query("g_export_edges", f"""WITH {EDGES}, few AS (SELECT CAST(n_nationkey AS BIGINT) * 16 + 2 AS id FROM nation UNION ALL SELECT CAST(r_regionkey AS BIGINT) * 16 + 1 FROM region UNION ALL SELECT c_custkey * 16 + 3 FROM customer),
+n AS (SELECT id FROM few ORDER BY id LIMIT 200) SELECT e.id, s AS start_id, t AS end_id FROM edges e WHERE s IN (SELECT id FROM n) AND t IN (SELECT id FROM n)""")
+def _(spark, d):
+    g = tables.order_graph(spark, d)
+    return dataclasses.replace(g, nodes_table=g.matching({"type": ["region", "nation", "customer"]})).export(200).edges.select("id", "start_id", "end_id")
+
+
+@query("g_json_vectors", f"SELECT vec_id AS id, round({_SIM}, 6) AS similarity FROM embeddings WHERE label = 2 ORDER BY {_SIM} DESC, vec_id LIMIT 7")
+def _(spark, d):
+    spec = {"near": {"field": "emb", "vector": _Q}, "k": 7, "where": {"label": 2}}
+    return _hits(json_spec.vector_search(tables.vector_graph(spark, d), spec))

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import json
+import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from graphloom.errors import GraphError
 from graphloom.functions.filters import parse_filter
 from graphloom.graph import PropertyGraph, _plain
-from graphloom.operators import mutate, schema
+from graphloom.operators import mutate, schema, vectors
 from graphloom.plans import cypher, json_spec
 
 _FILTER = {"type": "object", "description": "properties, or and, or, not, gt, gte, lt, lte, between"}
-_START = {"type": "object", "properties": {"where": _FILTER, "ids": {"type": "array", "items": {"type": ["integer", "string"]}}, "near": {"type": ["object", "array"]}, "keep": {"type": "integer"}}, "additionalProperties": False}
+_RERANK = {"type": "object", "properties": {"document_from": {"type": "string"}, "candidates": {"type": "integer"}}, "additionalProperties": False}
+_START = {"type": "object", "properties": {"search": {"type": "string"}, "rerank": _RERANK, "where": _FILTER, "ids": {"type": "array", "items": {"type": ["integer", "string"]}}, "near": {"type": ["object", "array"]}, "keep": {"type": "integer"}}, "additionalProperties": False}
 _HOP = {"type": "object", "properties": {"where": _FILTER, "via": {"type": ["string", "object"]}, "hops": {"type": ["integer", "array"]}, "direction": {"enum": ["forward", "backward"]}, "optional": {"type": "boolean"}, "near": {"type": ["object", "array"]}, "keep": {"type": "integer"}, "via_near": {"type": ["object", "array"]}, "via_keep": {"type": "integer"}}, "additionalProperties": False}
 _WALK = {"start": _START, "hops": {"type": "array", "items": _HOP}}
 _AGGREGATE = {"type": "object", "properties": {"fn": {"enum": ["count", "sum", "avg", "min", "max"]}, "property": {"type": "string"}, "distinct": {"type": "boolean"}}, "required": ["fn"], "additionalProperties": False}
@@ -22,6 +24,9 @@ def _object(properties: dict, *required: str) -> dict:
     return {"type": "object", "properties": properties, "required": list(required), "additionalProperties": False}
 
 
+#: Nodes that a search starts from, unless told otherwise.
+SEARCH_KEEP = 25
+
 #: By tool: what its caller must be allowed to do, and its arguments as JSON Schema.
 TOOLS: dict[str, tuple[str, dict]] = {
     "list_graphs": ("read", _object({})),
@@ -30,18 +35,28 @@ TOOLS: dict[str, tuple[str, dict]] = {
     "aggregate": ("read", _object(_WALK | {"aggregates": {"type": "object", "additionalProperties": _AGGREGATE}, "group_by": {"type": "string"}}, "start", "aggregates")),
     "search": ("read", _object({"near": {"type": ["object", "array"]}, "target": {"enum": ["nodes", "edges"]}, "k": {"type": ["integer", "null"]}, "where": _FILTER, "boost": {"type": ["object", "array"]}}, "near")),
     "cypher": ("read", _object({"query": {"type": "string"}}, "query")),
+    "infer_schema": ("read", _object({})),
+    "define_schema": ("write", _object({"schema": {"type": "object"}}, "schema")),
+    "enforce_schema": ("mutate", _object({"endpoints": {"type": "boolean"}})),
+    "repoint_edge": ("mutate", _object({"id": {"type": "integer"}, "start_id": {"type": "integer"}, "end_id": {"type": "integer"}}, "id")),
+    "set_vectors": ("write", _object({"nodes": {"type": "array"}, "edges": {"type": "array"}})),
     "graph_data": ("read", _object({"limit": {"type": "integer"}})),
-    "ingest": ("write", _object({"nodes": {"type": "array"}, "edges": {"type": "array"}})),
+    "ingest": ("write", _object({"nodes": {"type": "array"}, "edges": {"type": "array"}, "merge_nodes_on": {"type": "array"}, "merge_edges_on": {"type": "array"}})),
     "mutate": ("mutate", _object({"operations": {"type": "array", "items": {"type": "object"}}}, "operations")),
     "delete_nodes": ("mutate", _object({"where": _FILTER, "detach": {"type": "boolean"}})),
 }
 
 
 class Server:
-    """Tools over named graphs. Writes replace the named graph by the new one; with several graphs ``graph`` must be named."""
+    """Tools over named graphs. Writes replace the named graph by the new one, one at a time; with several graphs ``graph`` must be named.
+
+    ``search`` is the vector field that {"start": {"search": text}} looks in; ``rerank`` the policy for reranking, without which there is
+    none; ``vectors`` says whether callers may give vectors of their own.
+    """
 
-    def __init__(self, graphs: dict[str, PropertyGraph], allow: tuple[str, ...] = ("read",), max_nodes: int = 500):
+    def __init__(self, graphs: dict[str, PropertyGraph], allow: tuple[str, ...] = ("read",), max_nodes: int = 500, search: str | None = None, rerank=None, vectors: bool = False):
         self.graphs, self.allow, self.max_nodes = dict(graphs), set(allow), max_nodes
+        self.search, self.rerank, self.vectors, self.writing = search, rerank, vectors, threading.RLock()
 
     def tools(self) -> dict[str, dict]:
         """The schemas of the tools that are allowed."""
@@ -65,7 +80,23 @@ class Server:
         name = args.pop("graph", next(iter(self.graphs)))
         if name not in self.graphs:
             raise GraphError(f"there is no graph {name!r}")
-        return getattr(self, f"_{tool}")(name, self.graphs[name], args)
+        run = getattr(self, f"_{tool}")
+        if TOOLS[tool][0] == "read" and tool != "cypher":
+            return run(name, self.graphs[name], args)
+        with self.writing:  # what a write starts from is what the one before it left
+            return run(name, self.graphs[name], args)
+
+    def _seeded(self, spec: dict) -> dict:
+        """A traversal whose start may have a text to search for."""
+        start = spec.get("start")
+        if not isinstance(start, dict) or "search" not in start:
+            return spec
+        if self.search is None:
+            raise GraphError("there is no field to search here")
+        if "near" in start:
+            raise GraphError("a start has search or near, not both")
+        rest = {k: v for k, v in start.items() if k != "search"}
+        return {**spec, "start": {"keep": SEARCH_KEEP, **rest, "near": {"field": self.search, "text": start["search"]}}}
 
     def _subgraph(self, found) -> dict:
         # a result that is too large is refused, never cut
@@ -86,16 +117,38 @@ class Server:
         return (g.schema or schema.infer(g)).json_schema()
 
     def _traverse(self, name, g, args) -> dict:
-        return self._subgraph(g.traverse_json(args))
+        return self._subgraph(g.traverse_json(self._seeded(args), self.rerank, self.vectors))
 
     def _aggregate(self, name, g, args) -> dict:
-        return self._rows(g.aggregate_json(args))
+        return self._rows(g.aggregate_json(self._seeded(args), self.rerank, self.vectors))
 
     def _search(self, name, g, args) -> dict:
-        return self._rows(json_spec.vector_search(g, args))
+        return self._rows(json_spec.vector_search(g, args, self.rerank, self.vectors))
 
     def _graph_data(self, name, g, args) -> dict:
-        return g.export(args.get("limit", 2000)).collect()
+        limit = args.get("limit", self.max_nodes)
+        if isinstance(limit, bool) or not isinstance(limit, int) or not 1 <= limit <= self.max_nodes:
+            raise GraphError(f"limit is a number from 1 to {self.max_nodes}")
+        return g.export(limit).collect()
+
+    def _infer_schema(self, name, g, args) -> dict:
+        return json.loads(schema.infer(g).document())
+
+    def _define_schema(self, name, g, args) -> dict:
+        self.graphs[name] = schema.define_schema(g, schema.GraphSchema.from_document(json.dumps(args["schema"])))
+        return self.graphs[name].schema.json_schema()
+
+    def _enforce_schema(self, name, g, args) -> dict:
+        self.graphs[name] = schema.enforce_schema(g, endpoints=args.get("endpoints", False))
+        return {"rules": [str(r) for r in self.graphs[name].rules]}
+
+    def _repoint_edge(self, name, g, args) -> dict:
+        return self._done(name, mutate.repoint_edge(g, args["id"], args.get("start_id"), args.get("end_id")))
+
+    def _set_vectors(self, name, g, args) -> dict:
+        if not self.vectors and any(not isinstance(v, str | None) for rows in args.values() for r in rows for k, v in r.items() if k != "id"):
+            raise GraphError("give texts; vectors aren't taken here")
+        return self._done(name, vectors.set_vectors(g, args.get("nodes", ()), args.get("edges", ())))
 
     def _cypher(self, name, g, args) -> dict:
         what = cypher.classify(cypher.parse(args["query"]))
@@ -112,12 +165,8 @@ class Server:
         return {"nodes": change.nodes, "edges": change.edges}
 
     def _ingest(self, name, g, args) -> dict:
-        done = mutate.Change(g)
-        for rows, add in ((args.get("nodes"), mutate.add_nodes), (args.get("edges"), mutate.add_edges)):
-            if rows:
-                new = add(done.graph, rows)
-                done = mutate.Change(new.graph, done.nodes + new.nodes, done.edges + new.edges)
-        return self._done(name, done)
+        merge = {k: args.pop(k, None) for k in ("merge_nodes_on", "merge_edges_on")}
+        return self._done(name, mutate.ingest(g, args, **merge))
 
     def _mutate(self, name, g, args) -> dict:
         return self._done(name, mutate.mutate(g, args))
@@ -126,7 +175,7 @@ class Server:
         return self._done(name, mutate.delete_nodes(g, parse_filter(args.get("where")), detach=args.get("detach", False)))
 
     def http(self, port: int = 0, host: str = "127.0.0.1") -> ThreadingHTTPServer:
-        """POST /<tool> with a JSON object, GET /health and /tools; call ``serve_forever`` on what comes back."""
+        """POST /<tool> with a JSON object, GET /health, /tools, /graphs and /schema; call ``serve_forever`` on what comes back."""
         tools = self
 
         class Handler(BaseHTTPRequestHandler):
@@ -140,16 +189,29 @@ class Server:
 
             def do_GET(self):
                 known = {"/health": lambda: {"status": "ok"}, "/tools": tools.tools, "/graphs": lambda: tools.call("list_graphs", {})}
-                self._answer(200, known[self.path]()) if self.path in known else self._answer(404, {"error": "no such path"})
+                if len(tools.graphs) == 1:
+                    known["/schema"] = lambda: tools.call("describe_graph", {})
+                self._run(known[self.path]) if self.path in known else self._answer(404, {"error": "no such path"})
 
-            def do_POST(self):
+            def _run(self, what) -> None:
                 try:
-                    args = json.loads(self.rfile.read(int(self.headers.get("Content-Length", 0))) or b"{}")
-                    if not isinstance(args, dict):
-                        raise GraphError("send a JSON object")
-                    self._answer(200, tools.call(self.path.strip("/"), args))
+                    self._answer(200, what())
                 except (GraphError, ValueError) as e:
                     self._answer(400, {"error": str(e)})
+                except Exception:  # a query that Spark couldn't run: its text may name files and rows
+                    self._answer(500, {"error": "the query failed"})
+
+            def do_POST(self):
+                body = self.rfile.read(int(self.headers.get("Content-Length", 0))) or b"{}"
+                tool = {"edges/repoint": "repoint_edge"}.get(self.path.strip("/"), self.path.strip("/"))
+
+                def answer() -> object:
+                    args = json.loads(body)
+                    if not isinstance(args, dict):
+                        raise GraphError("send a JSON object")
+                    return tools.call(tool, args)
+
+                self._run(answer)
 
             def log_message(self, *_):
                 pass

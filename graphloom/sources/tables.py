@@ -11,7 +11,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from graphloom.graph import PropertyGraph
 
@@ -26,15 +25,15 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-_schemas: dict[tuple[str, str], T.StructType] = {}
+def _packed(a: Column, b: Column) -> Column:
+    """Two keys in one; larger keys than there is room for are refused, as their ids would be those of other edges."""
+    fits = (b >= 0) & (b < 1 << 24) & (a >= 0) & (a < 1 << 35)
+    return F.when(fits, a * (1 << 24) + b).otherwise(F.raise_error(F.lit("keys are too large for edge ids of 64 bits")).cast("long"))
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A Parquet table; its files are asked for their schema only the first time."""
-    path = f"{folder}/{name}.parquet"
-    if (folder, name) not in _schemas:
-        _schemas[folder, name] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[folder, name]).parquet(path)
+    """A Parquet table."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def order_graph(spark: SparkSession, folder: str) -> PropertyGraph:
@@ -62,7 +61,7 @@ def order_graph(spark: SparkSession, folder: str) -> PropertyGraph:
     ])
     # an order line isn't unique by its number: lines of one order, number and part are one edge
     lines = table("lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.sum("l_quantity").alias("l_quantity"), F.max("l_discount").alias("l_discount"))
-    line_key = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * (1 << 24) + F.col("l_partkey")
+    line_key = _packed(F.col("l_orderkey") * 8 + F.col("l_linenumber"), F.col("l_partkey"))
     supplied = table("lineitem").select("l_partkey", "l_suppkey").distinct()
     all_edges = _union([
         edges(table("nation"), "in_region", 1, F.col("n_nationkey").cast("long"), node_id("n_nationkey", NATION), node_id("n_regionkey", REGION)),
@@ -70,7 +69,7 @@ def order_graph(spark: SparkSession, folder: str) -> PropertyGraph:
         edges(table("supplier"), "in_nation", 3, F.col("s_suppkey"), node_id("s_suppkey", SUPPLIER), node_id("s_nationkey", NATION)),
         edges(table("orders"), "placed", 4, F.col("o_orderkey"), node_id("o_custkey", CUSTOMER), node_id("o_orderkey", ORDER)),
         edges(lines, "contains", 5, line_key, node_id("l_orderkey", ORDER), node_id("l_partkey", PART), "l_quantity", "l_discount"),
-        edges(supplied, "supplied_by", 6, F.col("l_partkey") * (1 << 24) + F.col("l_suppkey"), node_id("l_partkey", PART), node_id("l_suppkey", SUPPLIER)),
+        edges(supplied, "supplied_by", 6, _packed(F.col("l_partkey"), F.col("l_suppkey")), node_id("l_partkey", PART), node_id("l_suppkey", SUPPLIER)),
         edges(events, "performed", 7, F.col("event_id"), node_id("user_id", USER), node_id("event_id", EVENT)),
     ])
     return PropertyGraph.create(all_nodes, all_edges, acyclic=True)

@@ -41,6 +41,25 @@ def test_too_many_rows_are_refused(g):
         Server({"g": g}, max_nodes=2).call("aggregate", ask)
 
 
+def test_search_schema_and_ceilings(g):
+    from graphloom.operators.vectors import Vector, define_vectors
+
+    v = define_vectors(g, nodes=[Vector("n", 2, embed=lambda texts: [[float(len(t)), 1.0] for t in texts])], migrate=True)
+    s = Server({"g": v}, ("read", "write", "mutate"), search="n")
+    assert s.call("set_vectors", {"nodes": [{"id": 1, "n": "one"}, {"id": 2, "n": "three"}]}) == {"nodes": 2, "edges": 0}
+    found = s.call("traverse", {"start": {"search": "thrice", "keep": 1}, "hops": [{"via": "k"}]})
+    assert {n["id"] for n in found["nodes"]} == {"2", "3"}
+    assert {n["id"] for n in s.call("traverse", {"start": {"search": "thrice"}})["nodes"]} == {"1", "2"}
+    assert s.call("repoint_edge", {"id": 1, "end_id": 3}) == {"nodes": 0, "edges": 1}
+    declared = s.call("infer_schema", {})
+    assert {n["name"] for n in declared["nodes"]} == {"a", "b"}
+    s.call("define_schema", {"schema": declared})
+    assert s.call("enforce_schema", {})["rules"]
+    for tool, args in (("graph_data", {"limit": 501}), ("search", {"near": {"field": "n", "vector": [1, 2]}}), ("set_vectors", {"nodes": [{"id": 1, "n": [1, 2]}]}), ("traverse", {"start": {"search": "x", "rerank": {}}}), ("ingest", {"nodes": [{"type": "a"}]})):
+        with pytest.raises(GraphError):
+            s.call(tool, args)
+
+
 def test_http(g):
     server = Server({"g": g}).http()
     threading.Thread(target=server.serve_forever, daemon=True).start()
@@ -48,6 +67,7 @@ def test_http(g):
     post = lambda p, b: json.loads(urllib.request.urlopen(urllib.request.Request(at + p, json.dumps(b).encode())).read())
     assert json.loads(urllib.request.urlopen(at + "/health").read()) == {"status": "ok"}
     assert len(post("/graph_data", {"limit": 2})["edges"]) == 1
+    assert "a" in json.loads(urllib.request.urlopen(at + "/schema").read())["nodes"]
     with pytest.raises(urllib.error.HTTPError):
         post("/traverse", {"begin": {}})
     server.shutdown()
@@ -59,6 +79,36 @@ def test_embedding(g):
     assert [r["id"] for r in out.vector_search(Near("n", (1, 0)), k=1).collect()] == [2]
 
 
+def test_clients_and_retries(g):
+    from types import SimpleNamespace as N
+
+    from graphloom.operators.embed import client_of, stale_counts
+
+    assert stale_counts(g, "n", "name", 2) == (2, 1)
+    one = lambda texts: [[float(len(t))] for t in texts]
+    shapes = [one, N(encode=one), N(embed_documents=one, embed_query=lambda t: [9.0]), N(get_text_embedding_batch=one), N(embed=lambda texts, model: N(embeddings=one(texts)))]
+    shapes.append(N(embeddings=N(create=lambda model, input: N(data=[N(index=i, embedding=v) for i, v in reversed([*enumerate(one(input))])]))))
+    assert all([*map(list, client_of(c)(["a", "bb"]))] == [[1.0], [2.0]] for c in shapes)
+    assert Embedder(shapes[2], 1)(["a"], query=True) == [[9.0]]
+    with pytest.raises(GraphError):
+        client_of(object())
+
+    class Busy(Exception):
+        def __init__(self, status):
+            self.status_code, self.headers = status, {"Retry-After": "0"}
+
+    for status, tries in ((429, 3), (503, 3), (400, 1)):
+        calls = []
+
+        def fail(texts):
+            calls.append(texts)
+            raise Busy(status)
+
+        with pytest.raises(Busy):
+            Embedder(fail, 1, retries=2)(["a"])
+        assert len(calls) == tries
+
+
 def test_network_rows(g):
     class Network:
         def nodes(self, data):
