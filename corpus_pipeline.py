@@ -15,10 +15,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that the classifier, fitted on the labels, rejects; a null text is never rejected."""
     return toxicity.drop_toxic(docs, _table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that of the smallest id. Texts without words stay."""
     return simhash.drop_near_duplicate_rows(docs)
 
 
@@ -29,10 +31,12 @@ def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that hold a passage of the benchmark."""
     return decontaminate.drop_leaks(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids, n_tokens, round_trip) of each document; a null text has null ids."""
     return bpe.encode(docs)
 
 
