@@ -316,17 +316,17 @@ def _embed(texts):
     return [[float(len(t) + i % 5) for i in range(32)] for t in texts]
 
 
-_HALF = "CASE WHEN vec_id % 3 <> 0 THEN list_transform(embedding[1:32]::DOUBLE[], lambda x: -x) END"
+_TURNED = "list_transform(embedding[1:32]::DOUBLE[], lambda x: -x)"
 _TEXT = "[" + ", ".join(map(str, _embed(["a query"])[0])) + "]::DOUBLE[]"
 
 
-@query("g_vector_fields", f"""WITH c AS (SELECT vec_id, {_SIM} + 0.5 * coalesce(list_cosine_similarity({_HALF}, {_TEXT}), 0) AS s FROM embeddings)
+@query("g_vector_fields", f"""WITH c AS (SELECT vec_id, {_SIM} + 0.5 * CASE WHEN vec_id % 3 <> 0 THEN list_cosine_similarity({_TURNED}, {_TEXT}) ELSE 0 END AS s FROM embeddings)
 SELECT vec_id AS id, round(s, 6) AS similarity FROM c ORDER BY s DESC, vec_id LIMIT 25""")
 def _(spark, d):
     return _hits(_two_fields(spark, d).vector_search(Near("emb", _Q), Near("half", text="a query", weight=0.5, missing="zero"), k=25))
 
 
-@query("g_set_vectors", f"SELECT vec_id AS id, round(list_cosine_similarity({_HALF}, {_TEXT}), 6) AS similarity FROM embeddings WHERE vec_id % 3 <> 0")
+@query("g_set_vectors", f"SELECT vec_id AS id, round(list_cosine_similarity({_TURNED}, {_TEXT}), 6) AS similarity FROM embeddings WHERE vec_id % 3 <> 0")
 def _(spark, d):
     return _hits(_two_fields(spark, d).vector_search(Near("half", text="a query", min_similarity=-1.0), k=None))
 
@@ -401,8 +401,8 @@ def _(spark, d):
 @query("g_merge_edges", """WITH old AS (SELECT o_orderkey * 16 + 4 AS id, o_custkey * 16 + 3 AS s, o_orderkey * 16 + 6 AS t FROM orders),
 new AS (SELECT o_custkey * 16 + 3 AS s, o_orderkey * 16 + 6 AS t, o_totalprice AS weight FROM orders WHERE o_orderstatus = 'F'
   UNION ALL SELECT c_custkey * 16 + 3, CAST(c_nationkey AS BIGINT) * 16 + 2, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING'),
-both AS (SELECT coalesce(old.s, new.s) AS s, coalesce(old.t, new.t) AS t, weight FROM old FULL JOIN new ON old.s = new.s AND old.t = new.t)
-SELECT s AS start_id, t AS end_id, weight FROM both""")
+j AS (SELECT coalesce(old.s, new.s) AS s, coalesce(old.t, new.t) AS t, weight FROM old FULL JOIN new ON old.s = new.s AND old.t = new.t)
+SELECT s AS start_id, t AS end_id, weight FROM j""")
 def _(spark, d):
     g = tables.order_graph(spark, d)
     g = dataclasses.replace(g, edges_table=g.matching_edges("placed"))
