@@ -8,13 +8,16 @@ segment is indexed once for each of its bits, with that bit deleted, so such pai
 A meeting also carries what follows its segment around the ring of segments. Of a pair within distance D some segment begins a
 ring of which the first l segments differ in at most l * D / m bits, for every l; meetings where the next segments differ
 in more are dropped on the spot. Segments that are equal meet at each of their bits, of which the first one counts. Every other
-meeting is verified on the full signature. Nothing within ``2m - 1`` is lost and
+meeting is verified on the full signature, where it happens: a signature travels once for each half of each segment, of which
+one is equal if the segment differs by at most one bit, and its variants are made there. Nothing within ``2m - 1`` is lost and
 nothing beyond it is accepted: with 13 segments that is 25 bits of 256. Signatures are collapsed before the join, so
-thousands of exact copies cost one signature.
+thousands of exact copies cost one signature; to find groups, only the links that connect them leave the place where pairs meet.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,6 +32,8 @@ SEGMENTS = 13
 MAX_DISTANCE = 2 * SEGMENTS - 1
 #: Bits of a key that hold which segment and bit it is about; the bits of the ring after a segment take what is left of 64.
 _PLACE = 8
+#: Bits of a shard's number that hold the bits of a half segment.
+_HALF = 24
 _SIG = [f"s{i}" for i in range(BITS // 64)]
 _U = np.uint64
 
@@ -109,94 +114,232 @@ def _ring(segments: int) -> tuple[int, int, list[tuple[int, int]]]:
     return wide, room, tests if room else []
 
 
-def _variant_keys(sig: np.ndarray, segments: int) -> np.ndarray:
-    """All one-deletion variants: row r, column b is the key of signature r's segment around bit b without that bit.
+def _halves(segments: int) -> list[tuple[int, int, int, int]]:
+    """(from, to, lo, hi) of each half of each segment, in bits, and of the other half of that segment."""
+    both = [((lo, (lo + hi) // 2), ((lo + hi) // 2, hi)) for lo, hi in _cuts(segments)]
+    return [(*one, *other) for x, y in both for one, other in ((x, y), (y, x))]
+
+
+def _words(sig: np.ndarray) -> np.ndarray:
+    """The four values of each signature, as numbers of which the highest bit comes first."""
+    return np.ascontiguousarray(sig).view(">u8").astype(_U)
+
+
+def _window(words: np.ndarray, at: int, width: int) -> np.ndarray:
+    """The ``width`` bits (63 at most) of each signature from bit ``at`` on, around the ring."""
+    if not width:
+        return np.zeros(len(words), _U)
+    k, r = at % BITS // 64, at % 64
+    x = words[:, k] << _U(r)
+    if r:
+        x |= words[:, (k + 1) % (BITS // 64)] >> _U(64 - r)
+    return x >> _U(64 - width)
+
+
+def _variant_keys(sig: np.ndarray, segments: int, start: int = 0, stop: int = BITS) -> np.ndarray:
+    """One-deletion variants: row r, column b - start is the key of signature r's segment around bit b without that bit.
 
     From the top: the place b, the other bits of the segment, bit b, and as many of the bits after the segment as there is room for.
     """
-    bits = np.unpackbits(np.ascontiguousarray(sig).view(np.uint8), axis=1)
+    words = _words(sig)
     wide, room, _ = _ring(segments)
-    keys = np.empty((len(sig), BITS), _U)
+    keys = np.empty((len(sig), stop - start), _U)
     for lo, hi in _cuts(segments):
-        value, after = np.zeros(len(sig), _U), np.zeros(len(sig), _U)
-        for b in range(lo, hi):
-            value = (value << _U(1)) | bits[:, b]
-        for b in range(hi, hi + room):
-            after = (after << _U(1)) | bits[:, b % BITS]
-        for b in range(lo, hi):
+        if hi <= start or lo >= stop:
+            continue
+        value, after = _window(words, lo, hi - lo), _window(words, hi, room)
+        for b in range(max(lo, start), min(hi, stop)):
             place = hi - 1 - b
             # bits above the deleted one move down by one place
             gone = ((value >> _U(place + 1)) << _U(place)) | (value & _U((1 << place) - 1))
-            keys[:, b] = (((((_U(b) << _U(wide)) | gone) << _U(1)) | bits[:, b]) << _U(room)) | after
+            keys[:, b - start] = (((((_U(b) << _U(wide)) | gone) << _U(1)) | ((value >> _U(place)) & _U(1))) << _U(room)) | after
     return keys
 
 
-def _runs_to_pairs(key: np.ndarray, who: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (a < b) of different ``who`` that share a key and don't differ too much in the ring after it, each once."""
+def _meetings(key: np.ndarray, segments: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs of keys of one place and variant that don't differ too much in the ring after it, in parts."""
     wide, room, tests = _ring(segments)
     first = np.zeros(BITS, bool)
     first[[lo for lo, _ in _cuts(segments)]] = True
     order = np.argsort(key)
-    after, w = key[order], who[order]
-    k = after >> _U(room + 1)
-    after &= _U((2 << room) - 1)
-    edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
-    edge, size = edge[:-1], np.diff(edge)
-    out = []
-    for step in range(1, int(size.max()) if len(size) else 0):
-        # each row with the row ``step`` places further on in the same run
-        edge, size = edge[size > step], size[size > step]
-        n = size - step
-        ends = np.cumsum(n)
-        for a in range(0, int(ends[-1]), 1 << 22):
-            x = np.arange(a, min(a + (1 << 22), int(ends[-1])))
-            run = np.searchsorted(ends, x, "right")
-            left = edge[run] + x - (ends[run] - n[run])
-            differ = after[left] ^ after[left + step]
-            fine = w[left] != w[left + step]
+    k = key[order]
+    begin = np.flatnonzero(np.concatenate([[True], (k[1:] ^ k[:-1]) >> _U(room + 1) != 0]))
+    size = np.diff(np.append(begin, len(k)))
+    size = np.repeat(size, size)
+    bits, most = tests[-1]
+    widest, same, low = _U(((1 << bits) - 1) << (room - bits)), _U(2 << room), _U((1 << room) - 1)
+    step, then, out, n = 1, 1, [], 0
+    while len(k):
+        if step == then:
+            # now and then, rows of runs that are too short by now are left out
+            more = size > step
+            k, order, size = k[more], order[more], size[more]
+            then = max(step + 1, step * 5 // 4)
+        # each row with the row ``step`` places further on, if that is in the same run; slices stay in the processor's cache
+        for a in range(0, len(k) - step, 1 << 13):
+            z = min(a + (1 << 13), len(k) - step)
+            differ = k[a + step : z + step] ^ k[a:z]
+            near = np.bitwise_count(differ & widest) <= most
+            near &= differ < same
+            at = np.flatnonzero(near)
+            if not len(at):
+                continue
+            differ = differ[at]
+            at += a
             # an equal segment counts at its first bit only
-            fine &= (differ >> _U(room) != 0) | first[(k[left] >> _U(wide)).astype(np.int64)]
-            differ &= _U((1 << room) - 1)
-            for bits, most in tests:
-                fine &= np.bitwise_count(differ >> _U(room - bits)) <= most
-            left = left[fine]
-            out.append(np.sort(np.stack([w[left], w[left + step]], 1), axis=1))
-        if sum(map(len, out)) > 1 << 21:
-            out = [np.unique(np.concatenate(out), axis=0)]
-    both = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-    return both[:, 0], both[:, 1]
+            fine = (differ >> _U(room) != 0) | first[(k[at] >> _U(wide + room + 1)).astype(np.int64)]
+            differ &= low
+            for b, m in tests[:-1]:
+                fine &= np.bitwise_count(differ >> _U(room - b)) <= m
+            at = at[fine]
+            out.append((order[at], order[at + step]))
+            n += len(at)
+            if n > 1 << 18:
+                yield tuple(map(np.concatenate, zip(*out)))
+                out, n = [], 0
+        step += 1
+    if n:
+        yield tuple(map(np.concatenate, zip(*out)))
 
 
-def near_pairs(groups: DataFrame, segments: int = SEGMENTS) -> DataFrame:
-    """(a, b, distance) with a < b: the pairs of distinct signatures (rep, s0..s3) within 2 * segments - 1, every one of them.
+def _runs_to_pairs(key: np.ndarray, who: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (a < b) of different ``who``, numbers below 2**31, that meet, each once."""
+    out = np.zeros(0, np.int64)
+    for x, y in _meetings(key, segments):
+        x, y = who[x], who[y]
+        out = np.unique(np.concatenate([out, (np.minimum(x, y) << 32 | np.maximum(x, y))[x != y]]))
+    return out >> 32, out & 0xFFFFFFFF
 
-    There is no cap on the size of a bucket.
+
+def _sharded(groups: DataFrame, segments: int) -> DataFrame:
+    """(shard, rep, s0..s3): each signature once for each half of each segment, beside those that are equal in that half, in order.
+
+    A segment that differs by one bit at most has a half that doesn't differ, so the variants of a segment need not travel: they are made where
+    they meet, one half of its bits in each of the two shards.
     """
     if segments < 1 or BITS // segments > 48:
         raise ValueError("a segment must have 1 to 48 bits")
-    _, room, _ = _ring(segments)
+    halves = _halves(segments)
 
-    def expand(batches):
+    def spread(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 2048):
-                part = b.slice(lo, 2048)
-                sig = np.stack([part.column(c).to_numpy() for c in _SIG], 1)
-                keys = _variant_keys(sig, segments)
-                rep = np.repeat(part.column("rep").to_numpy(), BITS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(rep)], ["key", "rep"])
+            for at in range(0, b.num_rows, 2048):
+                part = b.slice(at, 2048)
+                words = _words(np.stack([part.column(c).to_numpy() for c in _SIG], 1))
+                shard = np.concatenate([_U(i << _HALF) | _window(words, lo, hi - lo) for i, (lo, hi, _, _) in enumerate(halves)])
+                again = pa.array(np.tile(np.arange(part.num_rows), len(halves)))
+                yield pa.RecordBatch.from_arrays([pa.array(shard.view(np.int64)), *(part.column(c).take(again) for c in ("rep", *_SIG))], ["shard", "rep", *_SIG])
+
+    fields = ", ".join(f"{c} long" for c in ("shard", "rep", *_SIG))
+    return groups.select("rep", *_SIG).mapInArrow(spread, fields).repartition("shard").sortWithinPartitions("shard")
+
+
+def _whole_shards(batches: Iterator[pa.RecordBatch], most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(shard, rep, signatures) of several whole shards at once, of about ``most`` rows, or of one that is larger."""
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append((b.column("shard").to_numpy(), b.column("rep").to_numpy(), np.stack([b.column(c).to_numpy() for c in _SIG], 1)))
+            n += b.num_rows
+        if n >= most and held[0][0][0] != held[-1][0][-1]:
+            shard, rep, sig = map(np.concatenate, zip(*held))
+            cut = int(np.searchsorted(shard, shard[-1]))
+            yield shard[:cut], rep[:cut], sig[:cut]
+            held, n = [(shard[cut:], rep[cut:], sig[cut:])], len(shard) - cut
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
+def _keys_of_shards(shard: np.ndarray, sig: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """The variants that are due in each row's shard, and which row each of them belongs to."""
+    halves, half = _halves(segments), shard >> _HALF
+    keys, who = [], []
+    for i in np.unique(half):
+        lo, hi = np.searchsorted(half, [i, i + 1])
+        k = _variant_keys(sig[lo:hi], segments, *halves[i][2:])
+        keys.append(k.ravel())
+        who.append(np.repeat(np.arange(lo, hi), k.shape[1]))
+    return np.concatenate(keys), np.concatenate(who)
+
+
+def _apart(sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    # without signs: of a negative number bitwise_count takes the absolute value
+    return np.bitwise_count((sig[a] ^ sig[b]).view(_U)).sum(1, dtype=np.int32)
+
+
+def _begins(differ: np.ndarray, segments: int) -> np.ndarray:
+    """For each XOR of two signatures, the first segment at which they meet."""
+    words, (_, room, tests) = _words(differ), _ring(segments)
+    at = np.full(len(words), segments)
+    for s, (lo, hi) in reversed(list(enumerate(_cuts(segments)))):
+        after = _window(words, hi, room)
+        meets = np.bitwise_count(_window(words, lo, hi - lo)) <= 1
+        for bits, most in tests:
+            meets &= np.bitwise_count(after >> _U(room - bits)) <= most
+        at[meets] = s
+    return at
+
+
+def near_pairs(groups: DataFrame, segments: int = SEGMENTS) -> DataFrame:
+    """(a, b, distance) with a < b: the pairs of distinct signatures (rep, s0..s3) within 2 * segments - 1, every one of them.
+
+    There is no cap on the size of a bucket.
+    """
 
     def meet(batches):
-        got = [(b.column("key").to_numpy().view(_U), b.column("rep").to_numpy()) for b in batches]
-        if got:
-            a, b = _runs_to_pairs(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]), segments)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        for shard, rep, sig in _whole_shards(batches):
+            a, b = _runs_to_pairs(*_keys_of_shards(shard, sig, segments), segments)
+            apart = _apart(sig, a, b)
+            # a pair that meets at several segments counts at the first
+            once = apart < 2 * segments
+            once[once] = _begins(sig[a[once]] ^ sig[b[once]], segments) == shard[a[once]] >> (_HALF + 1)
+            a, b = rep[a[once]], rep[b[once]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(apart[once])], ["a", "b", "distance"])
+
+    return _sharded(groups, segments).mapInArrow(meet, "a long, b long, distance int")
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each number that occurs in a pair, but the smallest it is connected to, to that one."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while True:
+        lower = root.copy()
+        np.minimum.at(lower, x, root[y])
+        np.minimum.at(lower, y, root[x])
+        lower = lower[lower]
+        if (lower == root).all():
+            break
+        root = lower
+    more = root != np.arange(len(ids))
+    return ids[root[more]], ids[more]
+
+
+def near_links(groups: DataFrame, segments: int = SEGMENTS) -> DataFrame:
+    """(a, b) with a < b: links that connect just those signatures that ``near_pairs`` connects.
 
-    variants = groups.select("rep", *_SIG).mapInArrow(expand, "key long, rep long")
-    met = variants.repartition(F.shiftrightunsigned("key", room + 1)).mapInArrow(meet, "a long, b long").distinct()
-    left = groups.select(F.col("rep").alias("a"), *(F.col(c).alias(f"l{c}") for c in _SIG))
-    right = groups.select(F.col("rep").alias("b"), *(F.col(c).alias(f"r{c}") for c in _SIG))
-    distance = sum((F.bit_count(F.col(f"l{c}").bitwiseXOR(F.col(f"r{c}"))) for c in _SIG), F.lit(0))
-    return met.join(left, "a").join(right, "b").select("a", "b", distance.cast("int").alias("distance")).where(F.col("distance") < 2 * segments)
+    Of the pairs that are found together only as many are returned as it takes to connect them, so a signature has at most one row for each
+    half of each segment, however many others are near it.
+    """
+
+    def meet(batches):
+        for shard, rep, sig in _whole_shards(batches):
+            key, who = _keys_of_shards(shard, sig, segments)
+            found, n = [], 0
+            for a, b in _meetings(key, segments):
+                a, b = who[a], who[b]
+                near = _apart(sig, a, b) < 2 * segments
+                found.append((rep[a[near]], rep[b[near]]))
+                n += len(found[-1][0])
+                if n > 1 << 20:
+                    found = [_stars(*map(np.concatenate, zip(*found)))]
+                    n = len(found[0][0])
+            if n:
+                a, b = _stars(*map(np.concatenate, zip(*found)))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return _sharded(groups, segments).mapInArrow(meet, "a long, b long").distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -252,7 +395,7 @@ def drop_near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col:
     sig = store.written(signatures(docs, id_col, text_col, null_ids=True), "signatures")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")
     groups = _groups(sig, F.min(row).alias("first"), F.max(row).alias("last"))
-    roots = components(near_pairs(groups, segments).select("a", "b"))
+    roots = components(near_links(groups, segments))
     linked = groups.join(roots, groups["rep"] == roots["id"], "left").where("id is not null or first <> last").withColumn("root", F.coalesce("root", "rep"))
     stays = linked.groupBy("root").agg(F.min("first").alias("stays"))
     rows = sig.join(linked.select(*_SIG, "root"), _SIG).join(stays, "root").where(row != F.col("stays")).select(F.col("doc_id").alias("__gone"), F.col("tid").alias("__gone_tid")).distinct()

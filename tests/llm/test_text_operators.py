@@ -361,6 +361,52 @@ def test_pairs_within_the_radius_are_all_found(spark, segments):
     assert {tuple(x) for x in simhash.near_pairs(groups, segments).collect()} == want and want
 
 
+def test_large_buckets_lose_no_pair():
+    r = np.random.default_rng(8)
+    bits = (r.random((2500, 256)) < 0.12).astype(np.uint8)  # many share a segment, few are near
+    bits = np.concatenate([bits, bits[:100] ^ (r.random((100, 256)) < 0.05).astype(np.uint8)])
+    sig = np.packbits(bits, axis=1).view(np.int64)
+    ones = bits.sum(1, dtype=np.int64)
+    distance = ones[:, None] + ones - 2 * (bits.astype(np.float32) @ bits.T.astype(np.float32)).astype(np.int64)
+    want = {(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(distance <= simhash.MAX_DISTANCE))) if i < j}
+    keys = simhash._variant_keys(sig, simhash.SEGMENTS).ravel()
+    a, b = simhash._runs_to_pairs(keys, np.repeat(np.arange(len(sig)), 256), simhash.SEGMENTS)
+    near = simhash._apart(sig, a, b) <= simhash.MAX_DISTANCE
+    assert {*zip(a[near].tolist(), b[near].tolist())} == want and len(want) > 50
+
+
+@pytest.mark.parametrize("segments", [7, 13, 20])
+def test_links_connect_what_pairs_connect(spark, segments):
+    r = np.random.default_rng(9)
+    bits = r.integers(0, 2, (30, 256), np.uint8)
+    rows = [bits]
+    for _ in range(5):
+        rows.append(rows[-1] ^ (r.random((30, 256)) < 0.04).astype(np.uint8))
+    sig = np.packbits(np.concatenate(rows), axis=1).view(np.int64)
+    groups = spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(sig)], "rep long, s0 long, s1 long, s2 long, s3 long")
+    pairs, links = simhash.near_pairs(groups, segments).select("a", "b"), simhash.near_links(groups, segments)
+    assert {tuple(x) for x in simhash.components(links).collect()} == {tuple(x) for x in simhash.components(pairs).collect()} != set()
+
+
+def near_to_each_other(spark, n):
+    r = random.Random(21)
+    base = [f"w{r.randrange(5000)}" for _ in range(200)]
+    return spark.createDataFrame([(i, " ".join([*base[: i % 200], f"x{i}", *base[i % 200 + 1 :]]), "en") for i in range(n)], SCHEMA)
+
+
+def count_links(monkeypatch):
+    counts, real = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda pairs: counts.append(pairs.count()) or real(pairs))
+    return counts
+
+
+def test_rows_of_a_large_group_are_not_linked_one_by_one(spark, monkeypatch):
+    counts = count_links(monkeypatch)
+    assert [x["doc_id"] for x in simhash.drop_near_duplicate_rows(near_to_each_other(spark, 300)).collect()] == [0]
+    # 39340 pairs of signatures are near
+    assert 0 < counts[0] <= 2 * simhash.SEGMENTS * 300
+
+
 # substring dedup
 
 
