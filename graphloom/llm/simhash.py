@@ -372,7 +372,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sig = store.written(signatures(docs, id_col, text_col).select("doc_id", *_SIG), "signatures")
     groups = _groups(sig, F.min("doc_id").alias("first"))
     first = groups.select("rep", "first")
-    near = near_pairs(groups, segments).join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").where("x <> y")
+    near = near_links(groups, segments).join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").where("x <> y")
     # one id may carry several signatures (repeated ids): its groups are then one
     same = sig.join(groups, _SIG).where("doc_id <> first").select("first", "doc_id").distinct()
     return components(near.select(F.col("x").alias("a"), F.col("y").alias("b")).union(same)).where("id <> root").select(F.col("id").alias("doc_id"), F.col("root").alias("kept_id"))

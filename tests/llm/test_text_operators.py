@@ -407,6 +407,13 @@ def test_rows_of_a_large_group_are_not_linked_one_by_one(spark, monkeypatch):
     assert 0 < counts[0] <= 2 * simhash.SEGMENTS * 300
 
 
+def test_documents_of_a_large_group_are_not_linked_one_by_one(spark, monkeypatch):
+    counts = count_links(monkeypatch)
+    got = {(x["doc_id"], x["kept_id"]) for x in simhash.duplicates(near_to_each_other(spark, 300)).collect()}
+    assert got == {(i, 0) for i in range(1, 300)}
+    assert 0 < counts[0] <= 2 * simhash.SEGMENTS * 300
+
+
 # substring dedup
 
 
