@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -173,15 +174,18 @@ class PropertyGraph:
     def _hop(self, anchors: DataFrame, hop: Hop, want_edges: bool = True) -> walk.Walked:
         a, b = ("start_id", "end_id") if hop.direction == "forward" else ("end_id", "start_id")
         rows = self.matching_edges(hop.via)
-        edges = rows.select("*", F.col(a).alias("from_id"), F.col(b).alias("to_id"))
+        # the ends go by one name each while edges are shuffled
+        edges = rows.withColumnsRenamed({a: "from_id", b: "to_id"})
         targets = self.matching(hop.where).select("id") if hop.where not in (None, {}) else None
         if hop.via_near:
             walked = self._edge_beam(anchors, edges, targets, hop)
         else:
-            walked = walk.walk(anchors, edges, targets, hop.low, hop.high, self.acyclic, want_edges)
+            beam = bool(hop.near) or hop.rerank is not None
+            walked = walk.walk(anchors, edges, targets, hop.low, hop.high, self.acyclic, want_edges or beam)
         if hop.near or hop.rerank is not None:
             walked = self._node_beam(anchors, edges, walked, hop)
-        return walked
+        own = [F.col({a: "from_id", b: "to_id"}.get(c, c)).alias(c) for c in rows.columns]
+        return dataclasses.replace(walked, edges=walked.edges.select(*own, "from_id", "to_id"))
 
     def _node_beam(self, anchors: DataFrame, edges: DataFrame, walked: walk.Walked, hop: Hop) -> walk.Walked:
         """Only the best of the reached nodes count, and only edges that lead to them."""

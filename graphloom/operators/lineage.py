@@ -48,3 +48,27 @@ def cut(df: DataFrame) -> DataFrame:
     path = temporary(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of the files that are read, and rows, to a partition of a join.
+PART_BYTES, PART_ROWS = 16 << 20, 500_000
+
+
+def _parts(spark: SparkSession, wanted: int) -> int:
+    """At least one for each core and, but where the input asks for more, no more than the session's shuffles have."""
+    return max(1, wanted, min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def parts(df: DataFrame) -> int:
+    """Partitions for a join of ``df``, in proportion to what its plan reads. Shuffles that are given a number aren't merged by their compressed size."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    # what isn't read from files has no size, or one beyond all bounds
+    known = [x for x in sizes if x < 1 << 60]
+    wanted = max(-(-sum(known) // PART_BYTES), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if len(known) < len(sizes) else 1)
+    return _parts(df.sparkSession, min(wanted, 4096))
+
+
+def parts_of_rows(df: DataFrame) -> int:
+    """As ``parts``, for a table that ``cut`` wrote."""
+    return _parts(df.sparkSession, -(-df.count() // PART_ROWS))

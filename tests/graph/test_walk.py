@@ -65,3 +65,25 @@ def test_walks_from_all_nodes_are_those_of_the_sql(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     want = sorted(con.execute(queries.ORACLES[name]).fetchall())
     assert want and sorted(map(tuple, queries.QUERIES[name](spark, d).collect())) == want
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_matches_on_cycles_need_no_walks(spark, monkeypatch, seed):
+    def no(*args):
+        raise AssertionError("walks were listed")
+
+    monkeypatch.setattr(walk, "enumerated", no)
+    r = random.Random(seed)
+    n = 9
+    edges = [(i, r.randrange(n), r.randrange(n)) for i in range(11)]
+    anchors, targets, high = r.sample(range(n), r.randint(1, 3)), r.choice([None, r.sample(range(n), 5)]), r.randint(2, 5)
+    got = walk.walk(*frames(spark, anchors, edges, targets), 1, high, False, want_edges=False)
+    found = [x["id"] for x in got.match.collect()]
+    assert sorted(found) == sorted(brute(anchors, edges, targets, 1, high)[0])
+
+
+def test_an_anchor_on_a_circle_is_reached_only_from_another_one(spark):
+    edges = [(0, 1, 2), (1, 2, 3), (2, 3, 1), (3, 7, 7)]
+    for anchors, want in (([1], {2, 3}), ([1, 2], {1, 2, 3}), ([7], {7}), ([8], set())):
+        got = walk.walk(*frames(spark, anchors, edges, None), 1, 4, False, want_edges=False)
+        assert {x["id"] for x in got.match.collect()} == want == brute(anchors, edges, None, 1, 4)[0]
