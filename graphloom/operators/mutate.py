@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from graphloom.errors import ConstraintViolation, GraphError
 from graphloom.functions import filters
 from graphloom.functions.props import bag
-from graphloom.operators import lineage
+from graphloom.operators import lineage, walk
 from graphloom.operators.constraints import COLUMNS, Col, Unique, key_name, key_text
 
 
@@ -250,12 +250,31 @@ def delete_nodes(g, where=None, detach: bool = False, all: bool = False, ids: Se
     if not isinstance(detach, bool):
         raise GraphError("detach must be True or False")
     gone = g.matching(where, ids).select("id")
-    edges = g.edges.select("id", "start_id", "end_id")
-    loose = edges.join(gone.withColumnRenamed("id", "start_id"), "start_id", "left_semi").select("id").union(edges.join(gone.withColumnRenamed("id", "end_id"), "end_id", "left_semi").select("id")).distinct()
-    if not detach and loose.limit(1).count():
+    among = walk.codes(gone)
+    touched = walk.coded("start_id", among) | walk.coded("end_id", among)
+    # edges whose ends can't be among the nodes by their codes aren't joined
+    met = _marked(g.edges.where(touched).select("id", "start_id", "end_id"), gone)
+    loose = met.where("gone").select("id")
+    if not detach and not loose.isEmpty():
         raise ConstraintViolation("endpoint", "these nodes have edges; detach=True takes those along")
-    counts = gone.count(), loose.count() if detach else 0
-    return Change(_replace(g, nodes_table=_without(g.nodes_table, gone), edges_table=_without(g.edges_table, loose)), *counts)
+    counts = gone.count(), loose.distinct().count() if detach else 0
+    nodes = _without(g.nodes_table, gone)
+    if not detach:
+        return Change(_replace(g, nodes_table=nodes), *counts)
+    scope = F.coalesce(F.col(g.graph_col) == g.name, F.lit(False)) if g.graph_col else F.lit(True)
+    near = F.coalesce(touched, F.lit(False)) & scope
+    kept = _marked(g.edges_table.where(near), gone).where("not gone").drop("gone")
+    return Change(_replace(g, nodes_table=nodes, edges_table=kept.select(*g.edges_table.columns).unionByName(g.edges_table.where(~near))), *counts)
+
+
+def _marked(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges, and whether an end is among some nodes. Outer joins, as an anti-join would be made for each branch of the edges' union."""
+    parts = lineage.parts(edges)
+    out = edges
+    for end in ("start_id", "end_id"):
+        few = gone.select(F.col("id").alias(end), F.lit(True).alias(f"gone_{end}")).repartition(parts, end).distinct()
+        out = out.repartition(parts, end).join(few, end, "left")
+    return out.withColumn("gone", F.coalesce("gone_start_id", "gone_end_id", F.lit(False))).drop("gone_start_id", "gone_end_id")
 
 
 def _matching_edges(g, where, start, end, ids) -> DataFrame:
