@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.errors import GraphError
 from graphloom.functions.props import JSON_TYPES, json_type
-from graphloom.operators import constraints
+from graphloom.operators import constraints, lineage
 
 _JSON_SCHEMA = {"string": "string", "number": "number", "boolean": "boolean", "object": "object", "array": "array", "null": "null"}
 
@@ -196,7 +196,14 @@ def endpoint_counts(g) -> DataFrame:
     """(kind, source, target, n): which types each kind of edge connects."""
     types = g.nodes.select("id", g.node_access.text("type").alias("t"))
     e = g.edges.select("start_id", "end_id", g.edge_access.text("kind").alias("kind"))
-    joined = e.join(types.select(F.col("id").alias("start_id"), F.col("t").alias("source")), "start_id").join(types.select(F.col("id").alias("end_id"), F.col("t").alias("target")), "end_id")
+    parts = max(lineage.parts(e), lineage.parts(types))
+
+    # spread by the size of what is read: merged by their compressed size, partitions take many more rows
+    def typed(rows: DataFrame, end: str, name: str) -> DataFrame:
+        of = types.select(F.col("id").alias(end), F.col("t").alias(name)).repartition(parts, end)
+        return rows.repartition(parts, end).join(of, end)
+
+    joined = typed(typed(e, "start_id", "source"), "end_id", "target")
     return joined.groupBy("kind", "source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
