@@ -87,3 +87,44 @@ def test_an_anchor_on_a_circle_is_reached_only_from_another_one(spark):
     for anchors, want in (([1], {2, 3}), ([1, 2], {1, 2, 3}), ([7], {7}), ([8], set())):
         got = walk.walk(*frames(spark, anchors, edges, None), 1, 4, False, want_edges=False)
         assert {x["id"] for x in got.match.collect()} == want == brute(anchors, edges, None, 1, 4)[0]
+
+
+@pytest.mark.parametrize(("low", "high"), [(1, 3), (2, 2)])
+def test_layers_leave_out_what_does_not_fit(spark, monkeypatch, low, high):
+    # customers 3, orders 6, parts 5, suppliers 4 by the remainder
+    edges = [(i, i * 16 + 3, i * 16 + 6) for i in range(4)] + [(10 + i, i * 16 + 6, i % 2 * 16 + 5) for i in range(4)] + [(20 + i, i * 16 + 5, i * 16 + 4) for i in range(2)]
+    written, cut = [], walk.lineage.cut
+
+    def counted(df):
+        out = cut(df)
+        if "from_id" in out.columns:
+            written.append(sorted(x["id"] for x in out.collect()))
+        return out
+
+    monkeypatch.setattr(walk.lineage, "cut", counted)
+    anchors, targets = [3, 19], [5, 21]
+    got = walk.walk(*frames(spark, anchors, edges, targets), low, high, True)
+    assert "Deduplicate [id#" not in got.edges._jdf.queryExecution().analyzed().toString()
+    assert sorted(x["id"] for x in got.edges.collect()) == sorted(brute(anchors, edges, targets, low, high)[1]) == [0, 1, 10, 11]
+    assert not any(i >= 20 for ids in written for i in ids)
+
+
+def test_deletes_join_the_edges_and_not_each_kind_of_them(spark):
+    from graphloom.operators import mutate
+    from graphloom.sources import tables
+
+    g = tables.order_graph(spark, "/root/testdata/sf0.001")
+    after = mutate.delete_nodes(g, {"type": "customer", "c_mktsegment": "BUILDING"}, detach=True).graph
+    plan = after.edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2
+
+
+def test_endpoint_counts_spread_by_what_is_read(spark, monkeypatch):
+    from graphloom.operators import schema
+    from graphloom.sources import tables
+
+    g = tables.order_graph(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(walk.lineage, "PART_BYTES", 20_000)
+    n = walk.lineage.parts(g.edges)
+    plan = schema.endpoint_counts(g)._jdf.queryExecution().optimizedPlan().toString()
+    assert n > 8 and plan.count("RepartitionByExpression") == 4 and f", {n}" in plan
